@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality_rules
+from . import licenses, mixing, quality_classifier, quality_rules, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": warc.op2_warc,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     }
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 
 U = np.uint64
 #: Bytes that belong to words `[^\x20\x09-\x0D]+`.
