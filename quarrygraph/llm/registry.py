@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, licenses, mixing, quality_classifier, quality_rules, secrets, warc
+from . import jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_language_model": language_model.op10_language_model,
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op2_warc": warc.op2_warc,
         "op3_mix_sources": mixing.op3_mix_sources,
