@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, secrets, warc
+from . import decontaminate, html_extract, jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_language_model": language_model.op10_language_model,
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+        "op4_html_extract": html_extract.op4_html_extract,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op2_warc": warc.op2_warc,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op5_secret_scan": secrets.op5_secret_scan,
