@@ -193,7 +193,7 @@ class Labeller:
                 out[k] = both[: len(pages[k]), j]
         return out
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 4) -> Labeller:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 4) -> Labeller:
         """Adam on the logistic loss of every leaf, through time over whole pages."""
         order, h = random.Random(seed), HIDDEN
         m1, m2 = ({k: np.zeros_like(getattr(self, k)) for k in self.NAMES} for _ in range(2))
@@ -248,7 +248,7 @@ _ASIDE = ["related articles", "most read", "popular posts", "you may also like",
 _NOTICE = ["we use cookies to improve your experience accept", "this site uses cookies", "sign up for our newsletter", "please enable javascript", "subscribe now for updates", "your privacy is important to us"]
 
 
-def generated(n: int = 360, seed: int = 21) -> Iterator[tuple[str, list[str]]]:
+def generated(n: int = 1_600, seed: int = 21) -> Iterator[tuple[str, list[str]]]:
     """Pages, and the blocks of their main text; M marks are removed from what the page shows."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
@@ -287,9 +287,12 @@ def generated(n: int = 360, seed: int = 21) -> Iterator[tuple[str, list[str]]]:
         comments = lambda: box(r.choice(["section", "div"]), ["comments", "comment-list", "responses", "discussion", "comment"], f"<h3>{r.choice(['comments', '3 comments', 'replies', word()])}</h3>" + "".join(box(r.choice(["div", "li", "article"]), ["comment", "reply", "comment-body"], f"<p>{r.choice([word() + ' says', word()])}</p><p>{sentence()} {sentence()}</p>") for _ in range(r.randint(1, 4))))  # noqa: E731, B023
         title = " ".join(word() for _ in range(r.randint(3, 9)))
         body = [main_block("h1", title)]
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
+        again = sentence(1, 6)
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12, 30])):
             x = r.random()
-            if x < 0.72:
+            if x < 0.08:
+                body.append(main_block("p", again if lang or r.random() < 0.5 else sentence(1, 5)))
+            elif x < 0.72:
                 body.append(para())
             elif x < 0.82:
                 body.append(main_block(r.choice(["h2", "h3"]), " ".join(word() for _ in range(r.randint(1, 6)))))
