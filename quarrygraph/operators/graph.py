@@ -44,7 +44,7 @@ def trace(nodes: DataFrame, edges: DataFrame, start: str, max_hops: int = 4, edg
     near = dist.filter(F.col("dist") < max_hops)
     at_src, at_dst = near.select(F.col("node").alias("src"), F.col("dist").alias("ds")), near.select(F.col("node").alias("dst"), F.col("dist").alias("dd"))
     # An edge belongs to the result if one end is near enough: two equality joins, never one on either end.
-    touching = edges.join(at_src.select("src"), "src", "left_semi").union(edges.join(at_dst.select("dst"), "dst", "left_semi")).dropDuplicates(EDGE_KEY)
+    touching = edges.join(at_src.select("src"), "src", "left_semi").unionByName(edges.join(at_dst.select("dst"), "dst", "left_semi")).dropDuplicates(EDGE_KEY)
     found = touching.join(at_src, "src", "left").join(at_dst, "dst", "left").withColumn("depth", F.least("ds", "dd") + 1).select(*EDGE_KEY, "status", "depth")
     return found.limit(0) if known.isEmpty() else found
 
