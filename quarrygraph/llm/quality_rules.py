@@ -1,7 +1,7 @@
 """Quality rules as weak supervision: every rule votes good, bad or abstains, and expectation-maximisation weighs the rules.
 
 Everything on the main path is DataFrame and SQL expressions. Two passes over the texts are
-avoided by writing the (narrow) features to the shared folder once.
+avoided by writing the features to the shared folder once.
 
 Defined cases: a null or empty text has no words and fails the base rule; null ids are kept as
 they are; repeated rows are judged alike, each on its own; an empty table gives an empty result;
@@ -39,7 +39,7 @@ def _count(text: Column, not_counted: str) -> Column:
 def features(df: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep, and the numbers that the rules look at, for every whole text."""
     df = df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    df = df.withColumn("_w", F.split(F.expr(r"btrim(_t, ' \t\n\u000B\f\r')"), "[\\x20\\x09-\\x0D]+"))
+    df = df.withColumn("_w", F.split(F.expr(r"btrim(_t, ' \t\n\u000B\u000C\r')"), "[\\x20\\x09-\\x0D]+"))
     df = df.withColumn("_w", F.when(F.get("_w", F.lit(0)) == "", F.array().cast("array<string>")).otherwise(F.col("_w")))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     n = F.size("_w")
@@ -149,9 +149,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep. The texts are judged in the scan; only the verdict's parameters need a pass of their own."""
+    """The documents that the rules keep. The texts are judged once, in the scan, and written with their votes: a filter on
+    the votes would otherwise be pushed below them, and repeat what they are made of many times over."""
     rules = votes()
-    wide = features(docs.withColumn("_row", F.struct(*docs.columns)), ["_row"]).select("*", *(v.cast("tinyint").alias(f"v_{r}") for r, v in rules.items()))
+    wide = features(docs.withColumn("_row", F.struct(*docs.columns)), ["_row"])
+    wide = materialize(spark, wide.select("_row", base_failed().alias("failed"), *(v.cast("tinyint").alias(f"v_{r}") for r, v in rules.items())), "judged")
     counted = wide.groupBy(*(f"v_{r}" for r in rules)).agg(F.count("*").alias("n"))
     prior, weights = estimate(materialize(spark, counted.coalesce(1), "votes"), list(rules))
-    return wide.filter(~base_failed() & (_posterior(prior, weights) >= KEEP_AT)).select("_row.*")
+    return wide.filter(~F.col("failed") & (_posterior(prior, weights) >= KEEP_AT)).select("_row.*")

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL}
+    return {"op2_warc": warc.SQL, "op3_mix_sources": mixing.SQL}

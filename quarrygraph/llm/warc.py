@@ -206,3 +206,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     manifest = write(spark, read_table(spark, sf_dir, "pages"), folder)
     return read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: The same in DuckDB.
+SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, url, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN d.page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN d.page_id <> keep THEN keep END AS refers_to, url
+FROM d LEFT JOIN m ON m.payload_digest = d.payload_digest
+"""
