@@ -25,6 +25,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ RANK, OVERSAMPLE = 128, 16
 #: Words of half a passage.
 HALF = 20
 MIN_WORDS = 8
-#: Terms in more than this share of passages weigh nothing in the search (they do count in the comparison).
-COMMON = 0.02
+#: Terms in more than this share of passages, and in so many at least, weigh nothing in the search (they do count in the comparison).
+COMMON, COMMON_LEAST = 0.02, 1_000
 #: Cosine in the latent space, and share of the item's weight that the passage must cover, for a candidate.
 COSINE, COVER = 0.2, 0.3
 #: Shares of the item's words in the common subsequence: for a hit, and for a paraphrase whose answer stands.
@@ -50,7 +51,7 @@ class Block:
     """Items of the query set with their terms' numbers."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hashes, counts = words(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)
+        hashes, counts = words(pc.utf8_lower(pa.array([t for _, t in items], pa.string())), ALNUM, lower=True)
         parts = np.split(hashes, np.cumsum(counts)[:-1]) if len(items) else []
         found = [(i, p) for (i, _), p in zip(items, parts, strict=True) if len(p) >= MIN_WORDS]
         self.ids = [i for i, _ in found]
@@ -66,7 +67,7 @@ class Block:
         """Weights from the share of passages that have the term; basis and items' vectors are set by `project`."""
         share = passages_with / max(1, passages)
         self.idf = np.log((passages + 1) / (passages_with + 1)).astype(np.float32)
-        self.weight = np.where(share > COMMON, 0, self.idf).astype(np.float32)
+        self.weight = np.where((share > COMMON) & (passages_with >= COMMON_LEAST), 0, self.idf).astype(np.float32)
         self.matrix = np.zeros((len(self.ids), len(self.terms)), np.float32)
         for k, w in enumerate(self.words):
             np.add.at(self.matrix[k], w, self.weight[w])
@@ -93,7 +94,7 @@ def _numbers(block: Block):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                h, n = words(batch.column("text"), ALNUM, lower=True)
+                h, n = words(pc.utf8_lower(batch.column("text")), ALNUM, lower=True)
                 parts = np.split(block.number(h), np.cumsum(n)[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "numbers"])
 
