@@ -79,6 +79,19 @@ def norm_path(path: str | None) -> str | None:
     return None if out == ".." or out.startswith("../") or out == "." else out
 
 
+def normal_path(path: Column) -> Column:
+    """norm_path as an expression: the steps are folded over a stack, and null once they leave the root."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("inside"))
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.struct(F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - 1, F.lit(0))).alias("at"), (acc["inside"] & (F.size(acc["at"]) > 0)).alias("inside"))
+        return F.when(x == "..", up).otherwise(F.struct(F.concat(acc["at"], F.array(x)).alias("at"), acc["inside"].alias("inside")))
+
+    end = F.aggregate(steps, start, step)
+    return F.when(~path.startswith("/") & end["inside"] & (F.size(end["at"]) > 0), F.array_join(end["at"], "/"))
+
+
 def natural_key(label: Column) -> tuple[Column, Column]:
     """Sort keys of labels such as 2, 14, 14a: the number in front (none comes last), then the rest."""
     number = F.regexp_extract(label, "^(\\d+)", 1)

@@ -9,6 +9,7 @@ from ..functions.text import strip
 
 # The separators and fields of the export, which `git log --reverse -z --name-only --format=...` writes.
 RECORD, FIELD = "\x1e", "\x1f"
+BLAME = r"^([0-9a-f]{40}) \d+ (\d+)(?: \d+)?$"
 LOG_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%B%x1f"
 
 
@@ -28,6 +29,14 @@ def last_touch(log: DataFrame) -> DataFrame:
     return touched.groupBy("file").agg(F.max_by("sha", "ordinal").alias("sha"), F.max_by("authored_at", "ordinal").alias("authored_at"))
 
 
+def blame(texts: DataFrame) -> DataFrame:
+    """(file, line_no, sha) of exported line histories (file, text), which `git blame --porcelain` writes: each line's commit. Lines that no
+    commit has yet are left out. Joined by file and line it serves all lines that are asked for at once."""
+    head = F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(BLAME))).alias("h")
+    rows = texts.select("file", head).select("file", F.regexp_extract("h", BLAME, 2).cast("int").alias("line_no"), F.regexp_extract("h", BLAME, 1).alias("sha"))
+    return rows.filter(~F.col("sha").rlike("^0+$"))
+
+
 def commit_graph(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, title) and edges (src, dst, type, extractor, status): commits, their authors by lower-case address, and who
     wrote what. A commit without an address has no author."""
