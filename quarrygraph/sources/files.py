@@ -24,10 +24,14 @@ def visible(path: Column) -> Column:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified, category) of every visible file of a known category. No content is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = found.select(relative(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified"))
-    return found.filter(visible(F.col("path"))).withColumn("category", category(F.col("path"))).filter("category is not null")
+    """(path, length, modified, category) of every visible file of a known category. No content is read. Scans leave out empty files, so
+    these are taken from the listing that the driver keeps for the scan; when they were modified is not known."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = scan.select(relative(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified"))
+    listed = spark.createDataFrame([(name,) for name in scan.inputFiles()], "name string").select(relative(F.col("name"), root).alias("path"))
+    empty = listed.join(found, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    found = found.unionByName(empty).filter(visible(F.col("path")))
+    return found.withColumn("category", category(F.col("path"))).filter("category is not null")
 
 
 def texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -23,6 +23,11 @@ def _fs(spark: SparkSession, root: str):
     return jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm, fs = _fs(spark, path)
+    return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+
+
 def version(spark: SparkSession, root: str) -> int:
     """The number of the newest snapshot; 0 if there is none."""
     jvm, fs = _fs(spark, root)

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from quarrygraph.__main__ import main
 from quarrygraph.functions.text import norm_path, normal_path
-from quarrygraph.sources import bibliography, dataflow, files, history, papers, r_scripts
+from quarrygraph.sources import bibliography, dataflow, files, history, papers, r_scripts, store
 
 
 def test_bibliography(spark):
@@ -80,3 +81,45 @@ def test_blame(spark):
     text = f"{a} 1 1 2\nauthor X\n\tcode\n{a} 2 2\n\t{a} 9 9\n{z} 3 3 1\n\tnew\n"
     rows = history.blame(spark.createDataFrame([("f.py", text), ("g.py", None)], "file string, text string"))
     assert sorted((r.file, r.line_no, r.sha) for r in rows.collect()) == [("f.py", 1, a), ("f.py", 2, a)]
+
+
+def test_project_ingest_and_command_line(spark, tmp_path, capsys):
+    root, target = tmp_path / "p", str(tmp_path / "store")
+
+    def put(name, text):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    put("paper/x.tex", "\\section{Results}\nWe reach 92.1\\% here. % 55.5\\%\n\\includegraphics{fig/a} \\cite{B}\n")
+    put("paper/fig/a.png", "")
+    put("refs.bib", "@misc{b, title={T}}")
+    put("notes.md", "# Notes\nIt was 0.42 then.\n")
+    put("README.md", "# R\n0.42\n")
+    put("s.R", 'x <- read.csv("d.csv")\nggsave("paper/fig/a.png")\n')
+    put("t.py", "pd.read_csv('lost.csv')\n")
+    put("d.csv", "a\n")
+    put("mlruns/0/r1/meta.yaml", "run_id: r1\n")
+    put("mlruns/0/r1/metrics/acc", "1 0.9214 0\n")
+    (tmp_path / "log").write_text("\x1es1\x1fAnn\x1fa@x\x1f2024-01-02T00:00:00Z\x1ffirst\x1f\n\x00s.R\x00")
+    run = lambda *a: main(["--store", target, *a], spark)
+    assert run("find", "x") == 1  # an empty store
+    assert run("ingest", str(root), "--log", str(tmp_path / "log")) == 0
+    edges = {(r.src.split("#")[0], r.dst, r.type, r.status) for r in store.read(spark, target, "edges").collect()}
+    assert edges == {
+        ("section:paper/x.tex", "figure:paper/fig/a.png", "includes", "auto"), ("section:paper/x.tex", "ref:b", "cites", "auto"),
+        ("script:s.R", "dataset:d.csv", "reads", "auto"), ("script:s.R", "figure:paper/fig/a.png", "writes", "auto"), ("script:t.py", "dataset:lost.csv", "reads", "auto"),
+        ("claim:paper/x.tex", "experiment:r1", "backed_by", "pending"), ("commit:s1", "contributor:a@x", "authored_by", "auto"),
+    }
+    claim = store.read(spark, target, "edges").filter("type = 'backed_by'").first()
+    assert run("confirm", claim.src, claim.dst, "backed_by", "claims") == 0 and run("confirm", "no", claim.dst, "backed_by", "claims") == 1
+    put("paper/x.tex", "\\section{Results}\nNothing.\n")
+    put("notes.md", "# Notes\nNothing.\n")
+    assert run("ingest", str(root)) == 0
+    left = store.read(spark, target, "nodes").filter("type = 'claim'").collect()
+    assert [r.id for r in left] == [claim.src]  # a person judged it; the other claim is gone
+    assert store.read(spark, target, "edges").filter("type = 'backed_by'").first().status == "confirmed"
+    capsys.readouterr()
+    assert run("query", claim.src) == 0 and run("query", "no") == 1
+    assert run("trace", "experiment:r1", "--hops", "1") == 0 and run("status") == 0 and run("status", "--pending") == 0
+    shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert shown[0]["type"] == "claim" and shown[1]["direction"] == "out" and shown[2]["depth"] == 1

@@ -17,8 +17,9 @@ def test_inventory_and_texts(spark, tmp_path):
     for name in ("a b/x.TEX", "a b/f.png", ".hid/x.tex", "node_modules/x.tex", "x+y.md", "none.xyz"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("one\ntwo\n")
+    (tmp_path / "a b" / "empty.csv").write_text("")
     root = str(tmp_path)
-    assert {(r.path, r.category) for r in files.inventory(spark, root).collect()} == {("a b/x.TEX", "tex"), ("a b/f.png", "image"), ("x+y.md", "md")}
+    assert {(r.path, r.category, r.length) for r in files.inventory(spark, root).collect()} == {("a b/x.TEX", "tex", 8), ("a b/f.png", "image", 8), ("x+y.md", "md", 8), ("a b/empty.csv", "data", 0)}
     assert [(r.line_no, r.line) for r in files.lines(files.texts(spark, root, "*.md")).collect()] == [(1, "one"), (2, "two")]
 
 
