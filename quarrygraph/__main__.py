@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graph, snapshots
-from .plans import project
-from .sources import store
+from .plans import project, report
+from .sources import files, store
 
 
 def hops(text: str) -> int:
@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("trace", help="edges around a node")
     c.add_argument("node")
     c.add_argument("--hops", type=hops, default=4)
+    c = commands.add_parser("lineage", help="what scripts read and write; 1 if data is read that nothing writes, or a file is missing")
+    c.add_argument("root")
     c = commands.add_parser("confirm", help="judge an edge")
     for part in graph.EDGE_KEY:
         c.add_argument(part)
@@ -87,6 +89,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = show(nodes.filter(F.col("id") == args.node))
         show(graph.neighbors(edges, args.node))
         return 0 if found else 1
+    elif args.command == "lineage":
+        blocks = report.report(nodes, edges, files.inventory(spark, args.root))
+        n = {name: show(block.select(F.lit(name).alias("block"), "*")) for name, block in blocks.items()}
+        return 1 if n["orphans"] or n["broken_links"] else 0
     else:
         show(graph.trace(nodes, edges, args.node, args.hops))
     return 0

@@ -61,9 +61,9 @@ def _claims(found: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]
     return nodes, edges.select("src", "dst", F.lit("backed_by").alias("type"), F.lit("claims").alias("extractor"), F.lit("pending").alias("status"), F.lit(1.0).alias("confidence"), "occurrences")
 
 
-def gather(spark: SparkSession, root: str, log: str | None = None) -> Facts:
+def gather(spark: SparkSession, root: str, log: str | None = None, held: DataFrame | None = None) -> Facts:
     """The facts of the folder root: papers, bibliographies, scripts and the tracker's runs; and of an exported history, if log names one
-    (see history.LOG_FORMAT)."""
+    (see history.LOG_FORMAT). Runs are joined with commits and figures of this call and with those that are held already."""
     facts = Facts(spark)
     known = cut(files.inventory(spark, root))
     if log is not None:
@@ -83,8 +83,12 @@ def gather(spark: SparkSession, root: str, log: str | None = None) -> Facts:
     metrics = spark.createDataFrame([], "metric_id string, name string, metric double")
     if store.exists(spark, f"{root}/{TRACKER}"):
         runs = cut(trackers.facts(trackers.run_files(files.texts(spark, f"{root}/{TRACKER}"))))
-        name = F.max(F.when((F.col("kind") == "tags") & (F.col("name") == "mlflow.runName"), F.col("value")))
-        facts.add(runs.groupBy(F.concat(F.lit("experiment:"), "run_id").alias("id")).agg(name.alias("title")).select("id", F.lit("experiment").alias("type"), "title"))
+        steps = F.split("path", "/")
+        stored = known.filter(F.col("path").startswith(TRACKER + "/") & (F.col("category") == "image") & (F.get(steps, F.lit(3)) == "artifacts"))
+        artifacts = stored.select(F.get(steps, F.lit(2)).alias("run_id"), F.array_join(F.slice(steps, 5, 1_000), "/").alias("artifact"))
+        artifacts = artifacts.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+        seen = facts.all_nodes() if held is None else facts.all_nodes().select("id", "type").unionByName(held.select("id", "type"))
+        facts.add(*trackers.run_graph(runs, artifacts, seen.filter("type = 'figure'"), seen.filter("type = 'commit'")))
         metrics = runs.filter("kind = 'metrics'").select(F.concat(F.lit("experiment:"), "run_id").alias("metric_id"), "name", F.col("value").try_cast("double").alias("metric"))
     facts.add(*_claims(reduce(DataFrame.unionByName, found), metrics))
     return facts
@@ -93,7 +97,7 @@ def gather(spark: SparkSession, root: str, log: str | None = None) -> Facts:
 def ingest(spark: SparkSession, root: str, target: str, log: str | None = None) -> int:
     """Gather the facts of root and commit them to the store at target; the number of its new snapshot. Statuses that a person gave stay.
     Claims that a paper no longer makes go with their edges, unless a person judged one of those. Run again it changes nothing."""
-    facts = gather(spark, root, log)
+    facts = gather(spark, root, log, store.read(spark, target, "nodes"))
     new_nodes, new_edges = cut(facts.all_nodes()), cut(facts.all_edges())
     scanned = files.inventory(spark, root).filter("category in ('tex', 'md')").select("path")
 

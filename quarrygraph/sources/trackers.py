@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import split_lines, strip
+from ..functions.text import basename, split_lines, strip
+from ..operators.joins import unique_key_join
 
 # Folders that hold no runs, and the tags that are kept.
 RESERVED_TOP, RESERVED_BELOW = ["models", ".trash"], ["tags"]
@@ -46,6 +47,22 @@ def runs(found: DataFrame) -> DataFrame:
     return found.groupBy("run_id").agg(pairs("meta", text).alias("meta"), pairs("params", text).alias("params"), pairs("tags", text).alias("tags"), pairs("metrics", text.try_cast("double")).alias("metrics"))
 
 
+def run_graph(found: DataFrame, artifacts: DataFrame, figures: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of runs (see `facts`) and their edges. `implements`: the commit that a run's tag names, if commits (id) has it. `produces`: the
+    figure that alone among figures (id) has the base name of one of the run's artifacts (run_id, artifact); no or several such give none."""
+    one = lambda kind, name: F.max(F.when((F.col("kind") == kind) & (F.col("name") == name), F.nullif("value", F.lit(""))))
+    run = F.concat(F.lit("experiment:"), "run_id")
+    title = F.coalesce(one("tags", "mlflow.runName"), one("meta", "run_name"), F.col("run_id"))
+    per_run = found.groupBy("run_id").agg(title.alias("title"), one("tags", "mlflow.source.git.commit").alias("sha"))
+    nodes = per_run.select(run.alias("id"), F.lit("experiment").alias("type"), "title")
+    edge = lambda src, dst, kind, where: [src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit("mlflow").alias("extractor"), F.lit("auto").alias("status"), F.lit(1.0).alias("confidence"), where.alias("occurrences")]
+    tagged = per_run.withColumn("id", F.concat(F.lit("commit:"), "sha")).join(commits.select("id").distinct(), "id", "left_semi")
+    made = tagged.select(*edge(F.col("id"), run, "implements", F.array(F.to_json(F.struct("run_id", "sha")))))
+    shown = unique_key_join(artifacts.withColumn("_name", basename(F.col("artifact"))), figures.select("id", basename(F.regexp_replace("id", "^figure:", "")).alias("_name")).distinct(), "_name")
+    shown = shown.groupBy("run_id", "id").agg(F.sort_array(F.collect_list(F.to_json(F.struct("run_id", F.col("artifact").alias("artifact_path"))))).alias("o"))
+    return nodes, made.unionByName(shown.select(*edge(run, F.col("id"), "produces", F.col("o"))))
+
+
 def saved_pages(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, state, config, summary) of a web tracker's answers, saved one page a file as JSON. config and summary stay JSON texts."""
     page = "data struct<project:struct<runs:struct<edges:array<struct<node:struct<name:string,state:string,config:string,summaryMetrics:string>>>>>>"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.__main__ import main
 from quarrygraph.functions.text import norm_path, normal_path
-from quarrygraph.sources import bibliography, dataflow, files, history, papers, r_scripts, store
+from quarrygraph.sources import bibliography, dataflow, files, history, papers, r_scripts, store, trackers
 
 
 def test_bibliography(spark):
@@ -100,6 +100,9 @@ def test_project_ingest_and_command_line(spark, tmp_path, capsys):
     put("d.csv", "a\n")
     put("mlruns/0/r1/meta.yaml", "run_id: r1\n")
     put("mlruns/0/r1/metrics/acc", "1 0.9214 0\n")
+    put("mlruns/0/r1/tags/mlflow.source.git.commit", "s1\n")
+    put("mlruns/0/r1/artifacts/plots/a.png", "")
+    put("old/d.csv", "")
     (tmp_path / "log").write_text("\x1es1\x1fAnn\x1fa@x\x1f2024-01-02T00:00:00Z\x1ffirst\x1f\n\x00s.R\x00")
     run = lambda *a: main(["--store", target, *a], spark)
     assert run("find", "x") == 1  # an empty store
@@ -109,6 +112,7 @@ def test_project_ingest_and_command_line(spark, tmp_path, capsys):
         ("section:paper/x.tex", "figure:paper/fig/a.png", "includes", "auto"), ("section:paper/x.tex", "ref:b", "cites", "auto"),
         ("script:s.R", "dataset:d.csv", "reads", "auto"), ("script:s.R", "figure:paper/fig/a.png", "writes", "auto"), ("script:t.py", "dataset:lost.csv", "reads", "auto"),
         ("claim:paper/x.tex", "experiment:r1", "backed_by", "pending"), ("commit:s1", "contributor:a@x", "authored_by", "auto"),
+        ("commit:s1", "experiment:r1", "implements", "auto"), ("experiment:r1", "figure:paper/fig/a.png", "produces", "auto"),
     }
     claim = store.read(spark, target, "edges").filter("type = 'backed_by'").first()
     assert run("confirm", claim.src, claim.dst, "backed_by", "claims") == 0 and run("confirm", "no", claim.dst, "backed_by", "claims") == 1
@@ -122,4 +126,18 @@ def test_project_ingest_and_command_line(spark, tmp_path, capsys):
     assert run("query", claim.src) == 0 and run("query", "no") == 1
     assert run("trace", "experiment:r1", "--hops", "1") == 0 and run("status") == 0 and run("status", "--pending") == 0
     shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert shown[0]["type"] == "claim" and shown[1]["direction"] == "out" and shown[2]["depth"] == 1
+    assert run("lineage", str(root)) == 1
+    blocks = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(b["block"], b.get("target") or b.get("path")) for b in blocks] == [("scanned", None), ("orphans", "dataset:d.csv"), ("orphans", "dataset:lost.csv"), ("broken_links", "dataset:lost.csv"), ("duplicates", "d.csv")]
+    assert (blocks[0]["scripts"], blocks[0]["targets"], blocks[0]["reads_edges"], blocks[0]["writes_edges"]) == (2, 3, 2, 1)
+    assert shown[0]["type"] == "claim" and shown[1]["direction"] == "out" and all(x["depth"] == 1 for x in shown[2:5])
+
+
+def test_run_graph(spark):
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    found = rows([("r1", "meta", "run_name", "m"), ("r1", "tags", "mlflow.source.git.commit", "s1"), ("r2", "tags", "mlflow.source.git.commit", "gone"), ("r3", "tags", "mlflow.runName", "")], "run_id string, kind string, name string, value string")
+    artifacts = rows([("r1", "x/a.png"), ("r1", "y/a.png"), ("r1", "b.png"), ("r1", "c.png")], "run_id string, artifact string")
+    figures = rows([("figure:a.png",), ("figure:p/b.png",), ("figure:q/b.png",)], "id string")
+    nodes, edges = trackers.run_graph(found, artifacts, figures, rows([("commit:s1",)], "id string"))
+    assert {(r.id, r.title) for r in nodes.collect()} == {("experiment:r1", "m"), ("experiment:r2", "r2"), ("experiment:r3", "r3")}
+    assert {(r.src, r.dst, r.type, len(r.occurrences)) for r in edges.collect()} == {("commit:s1", "experiment:r1", "implements", 1), ("experiment:r1", "figure:a.png", "produces", 2)}
