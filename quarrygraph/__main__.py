@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("ingest", help="read a project's folder into the store")
     c.add_argument("root")
     c.add_argument("--log", help="an exported history")
+    c.add_argument("--blame", help="a folder of exported line histories")
     c = commands.add_parser("status", help="count nodes and edges by type")
     c.add_argument("--pending", action="store_true", help="list the edges that wait for a judgement")
     c = commands.add_parser("find", help="nodes whose id or title has a text")
@@ -69,7 +70,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quarrygraph").getOrCreate()
     if args.command == "ingest":
-        print(project.ingest(spark, args.root, args.store, args.log))
+        print(project.ingest(spark, args.root, args.store, args.log, args.blame))
         return 0
     if args.command == "confirm":
         return 0 if confirm(spark, args.store, [getattr(args, k) for k in graph.EDGE_KEY], args.status) else 1

@@ -61,9 +61,15 @@ def _claims(found: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]
     return nodes, edges.select("src", "dst", F.lit("backed_by").alias("type"), F.lit("claims").alias("extractor"), F.lit("pending").alias("status"), F.lit(1.0).alias("confidence"), "occurrences")
 
 
-def gather(spark: SparkSession, root: str, log: str | None = None, held: DataFrame | None = None) -> Facts:
+def _seen(facts: Facts, held: DataFrame | None, kind: str) -> DataFrame:
+    """Ids of the nodes of a type found so far or held already."""
+    found = facts.all_nodes().filter(F.col("type") == kind).select("id")
+    return found if held is None else found.unionByName(held.filter(F.col("type") == kind).select("id"))
+
+
+def gather(spark: SparkSession, root: str, log: str | None = None, blame: str | None = None, held: DataFrame | None = None) -> Facts:
     """The facts of the folder root: papers, bibliographies, scripts and the tracker's runs; and of an exported history, if log names one
-    (see history.LOG_FORMAT). Runs are joined with commits and figures of this call and with those that are held already."""
+    (see history.LOG_FORMAT), and of the line histories in the folder blame, each named like its script with `.blame` behind. Runs are joined with commits and figures of this call and with those that are held already."""
     facts = Facts(spark)
     known = cut(files.inventory(spark, root))
     if log is not None:
@@ -78,8 +84,12 @@ def gather(spark: SparkSession, root: str, log: str | None = None, held: DataFra
         refs = bibliography.references(entries, cited) if kind == "tex" else spark.createDataFrame([], "id string, title string")
         facts.add(*dataflow.paper_graph(heads, dataflow.figures(links.filter("link = 'includes'"), images), cited, refs, extractor))
         found.append(papers.claims(placed))
-    calls = scripts.uses(files.texts(spark, root, PYTHON)).union(r_scripts.uses(files.texts(spark, root, R))).union(r_scripts.uses(files.texts(spark, root, RMD)))
+    python = scripts.uses(files.texts(spark, root, PYTHON))
+    calls = python.union(r_scripts.uses(files.texts(spark, root, R))).union(r_scripts.uses(files.texts(spark, root, RMD)))
     facts.add(*dataflow.script_graph(dataflow.resolve(calls, known, root)))
+    if blame is not None:
+        blamed = history.blame(files.texts(spark, blame, "*.blame").select(F.regexp_replace("path", "\\.blame$", "").alias("file"), "text"))
+        facts.add(*dataflow.figure_graph(python, images, blamed, _seen(facts, held, "commit")))
     metrics = spark.createDataFrame([], "metric_id string, name string, metric double")
     if store.exists(spark, f"{root}/{TRACKER}"):
         runs = cut(trackers.facts(trackers.run_files(files.texts(spark, f"{root}/{TRACKER}"))))
@@ -87,17 +97,16 @@ def gather(spark: SparkSession, root: str, log: str | None = None, held: DataFra
         stored = known.filter(F.col("path").startswith(TRACKER + "/") & (F.col("category") == "image") & (F.get(steps, F.lit(3)) == "artifacts"))
         artifacts = stored.select(F.get(steps, F.lit(2)).alias("run_id"), F.array_join(F.slice(steps, 5, 1_000), "/").alias("artifact"))
         artifacts = artifacts.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-        seen = facts.all_nodes() if held is None else facts.all_nodes().select("id", "type").unionByName(held.select("id", "type"))
-        facts.add(*trackers.run_graph(runs, artifacts, seen.filter("type = 'figure'"), seen.filter("type = 'commit'")))
+        facts.add(*trackers.run_graph(runs, artifacts, _seen(facts, held, "figure"), _seen(facts, held, "commit")))
         metrics = runs.filter("kind = 'metrics'").select(F.concat(F.lit("experiment:"), "run_id").alias("metric_id"), "name", F.col("value").try_cast("double").alias("metric"))
     facts.add(*_claims(reduce(DataFrame.unionByName, found), metrics))
     return facts
 
 
-def ingest(spark: SparkSession, root: str, target: str, log: str | None = None) -> int:
+def ingest(spark: SparkSession, root: str, target: str, log: str | None = None, blame: str | None = None) -> int:
     """Gather the facts of root and commit them to the store at target; the number of its new snapshot. Statuses that a person gave stay.
     Claims that a paper no longer makes go with their edges, unless a person judged one of those. Run again it changes nothing."""
-    facts = gather(spark, root, log, store.read(spark, target, "nodes"))
+    facts = gather(spark, root, log, blame, store.read(spark, target, "nodes"))
     new_nodes, new_edges = cut(facts.all_nodes()), cut(facts.all_edges())
     scanned = files.inventory(spark, root).filter("category in ('tex', 'md')").select("path")
 

@@ -57,6 +57,18 @@ def script_graph(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, _edges(resolved, src, dst, F.col("kind"), "dataflow", ["path", "line_no", "callee"], where)
 
 
+def figure_graph(calls: DataFrame, images: DataFrame, blamed: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Figures that Python scripts save, and `generates` from the commit that each call's line is from: calls as `scripts.uses` gives them,
+    lines as `history.blame` does. Calls whose figure isn't among images (path), whose line has no commit or whose commit is not among
+    commits (id) make no edge."""
+    saved = resolve(calls.filter("callee = 'savefig'"), images).filter("not missing and not remapped")
+    lines = blamed.select(F.col("file").alias("path"), "line_no", F.concat(F.lit("commit:"), "sha").alias("id"))
+    rows = saved.join(lines, ["path", "line_no"]).join(commits.select("id").distinct(), "id", "left_semi")
+    nodes = rows.select(F.concat(F.lit("figure:"), "file").alias("id"), F.lit("figure").alias("type"), F.col("file").alias("title")).distinct()
+    where = F.to_json(F.struct(F.col("path").alias("file"), F.col("line_no").alias("line"), "callee", "folded_from"))
+    return nodes, _edges(rows, F.col("id"), F.concat(F.lit("figure:"), "file"), F.lit("generates"), "pyfig", ["path", "line_no"], where)
+
+
 def figures(links: DataFrame, images: DataFrame) -> DataFrame:
     """`includes` links (path, section, line_no, target) with the image (path) that each shows, from the paper's folder; a name without a known
     extension takes the first of FIGURE_ORDER that is there. Links to no known image are dropped, as no figure stands behind them."""

@@ -96,23 +96,27 @@ def test_project_ingest_and_command_line(spark, tmp_path, capsys):
     put("notes.md", "# Notes\nIt was 0.42 then.\n")
     put("README.md", "# R\n0.42\n")
     put("s.R", 'x <- read.csv("d.csv")\nggsave("paper/fig/a.png")\n')
-    put("t.py", "pd.read_csv('lost.csv')\n")
+    put("t.py", "pd.read_csv('lost.csv')\nplt.savefig('paper/fig/a.png')\nplt.savefig('gone.png')\n")
+    sha = "5" * 40
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "t.py.blame").write_text(f"{'6' * 40} 1 1 1\n\tx\n{sha} 2 2 2\n\ty\n{sha} 3 3\n\tz\n")
     put("d.csv", "a\n")
     put("mlruns/0/r1/meta.yaml", "run_id: r1\n")
     put("mlruns/0/r1/metrics/acc", "1 0.9214 0\n")
-    put("mlruns/0/r1/tags/mlflow.source.git.commit", "s1\n")
+    put("mlruns/0/r1/tags/mlflow.source.git.commit", sha + "\n")
     put("mlruns/0/r1/artifacts/plots/a.png", "")
     put("old/d.csv", "")
-    (tmp_path / "log").write_text("\x1es1\x1fAnn\x1fa@x\x1f2024-01-02T00:00:00Z\x1ffirst\x1f\n\x00s.R\x00")
+    (tmp_path / "log").write_text(f"\x1e{sha}\x1fAnn\x1fa@x\x1f2024-01-02T00:00:00Z\x1ffirst\x1f\n\x00s.R\x00")
     run = lambda *a: main(["--store", target, *a], spark)
     assert run("find", "x") == 1  # an empty store
-    assert run("ingest", str(root), "--log", str(tmp_path / "log")) == 0
+    assert run("ingest", str(root), "--log", str(tmp_path / "log"), "--blame", str(tmp_path / "lines")) == 0
     edges = {(r.src.split("#")[0], r.dst, r.type, r.status) for r in store.read(spark, target, "edges").collect()}
     assert edges == {
         ("section:paper/x.tex", "figure:paper/fig/a.png", "includes", "auto"), ("section:paper/x.tex", "ref:b", "cites", "auto"),
         ("script:s.R", "dataset:d.csv", "reads", "auto"), ("script:s.R", "figure:paper/fig/a.png", "writes", "auto"), ("script:t.py", "dataset:lost.csv", "reads", "auto"),
-        ("claim:paper/x.tex", "experiment:r1", "backed_by", "pending"), ("commit:s1", "contributor:a@x", "authored_by", "auto"),
-        ("commit:s1", "experiment:r1", "implements", "auto"), ("experiment:r1", "figure:paper/fig/a.png", "produces", "auto"),
+        ("claim:paper/x.tex", "experiment:r1", "backed_by", "pending"), (f"commit:{sha}", "contributor:a@x", "authored_by", "auto"),
+        (f"commit:{sha}", "experiment:r1", "implements", "auto"), (f"commit:{sha}", "figure:paper/fig/a.png", "generates", "auto"),
+        ("script:t.py", "figure:paper/fig/a.png", "writes", "auto"), ("script:t.py", "figure:gone.png", "writes", "auto"), ("experiment:r1", "figure:paper/fig/a.png", "produces", "auto"),
     }
     claim = store.read(spark, target, "edges").filter("type = 'backed_by'").first()
     assert run("confirm", claim.src, claim.dst, "backed_by", "claims") == 0 and run("confirm", "no", claim.dst, "backed_by", "claims") == 1
@@ -128,8 +132,8 @@ def test_project_ingest_and_command_line(spark, tmp_path, capsys):
     shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert run("lineage", str(root)) == 1
     blocks = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert [(b["block"], b.get("target") or b.get("path")) for b in blocks] == [("scanned", None), ("orphans", "dataset:d.csv"), ("orphans", "dataset:lost.csv"), ("broken_links", "dataset:lost.csv"), ("duplicates", "d.csv")]
-    assert (blocks[0]["scripts"], blocks[0]["targets"], blocks[0]["reads_edges"], blocks[0]["writes_edges"]) == (2, 3, 2, 1)
+    assert [(b["block"], b.get("target") or b.get("path")) for b in blocks] == [("scanned", None), ("orphans", "dataset:d.csv"), ("orphans", "dataset:lost.csv"), ("broken_links", "dataset:lost.csv"), ("broken_links", "figure:gone.png"), ("duplicates", "d.csv")]
+    assert (blocks[0]["scripts"], blocks[0]["targets"], blocks[0]["reads_edges"], blocks[0]["writes_edges"]) == (2, 4, 2, 3)
     assert shown[0]["type"] == "claim" and shown[1]["direction"] == "out" and all(x["depth"] == 1 for x in shown[2:5])
 
 
