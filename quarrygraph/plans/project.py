@@ -21,16 +21,16 @@ EDGES = "src string, dst string, type string, extractor string, status string, c
 
 
 class Facts:
-    """Nodes and edges found so far. Later stages come later in `seq`, so of equal nodes the last stage's counts."""
+    """Nodes and edges found so far, each stage's computed once, as later stages look at them. Later stages come later in `seq`, so of equal nodes the last stage's counts."""
 
     def __init__(self, spark: SparkSession):
         self.nodes, self.edges = [spark.createDataFrame([], NODES + ", seq int")], [spark.createDataFrame([], EDGES + ", seq int")]
 
     def add(self, nodes: DataFrame, edges: DataFrame | None = None) -> None:
         seq = F.lit(len(self.nodes)).alias("seq")
-        self.nodes.append(nodes.select("id", "type", "title", seq))
+        self.nodes.append(cut(nodes.select("id", "type", "title", seq)))
         if edges is not None:
-            self.edges.append(edges.select(*dataflow.EDGE_COLUMNS, seq))
+            self.edges.append(cut(edges.select(*dataflow.EDGE_COLUMNS, seq)))
 
     def all_nodes(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.nodes)
@@ -107,7 +107,7 @@ def ingest(spark: SparkSession, root: str, target: str, log: str | None = None,
     """Gather the facts of root and commit them to the store at target; the number of its new snapshot. Statuses that a person gave stay.
     Claims that a paper no longer makes go with their edges, unless a person judged one of those. Run again it changes nothing."""
     facts = gather(spark, root, log, blame, store.read(spark, target, "nodes"))
-    new_nodes, new_edges = cut(facts.all_nodes()), cut(facts.all_edges())
+    new_nodes, new_edges = facts.all_nodes(), facts.all_edges()
     scanned = files.inventory(spark, root).filter("category in ('tex', 'md')").select("path")
 
     def change(nodes: DataFrame | None, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
