@@ -5,9 +5,11 @@ one for the end of a text. A word outside the vocabulary is scored as the networ
 such words times its share of them in the counts of all training texts, so that the score is a
 probability of the text itself. State is carried from window to window over the whole text.
 
-Counts cover all training documents. The network is trained in numpy, by backpropagation
-truncated to WINDOW steps, on at most TRAIN_DOCS of them (smallest hashes of doc_id) and
-TRAIN_TOKENS tokens. Words are told apart by 64-bit hashes.
+Counts cover all training documents, and so does the network, trained in numpy by backpropagation
+truncated to WINDOW steps: it starts on a sample (START_DOCS documents by smallest hashes of doc_id,
+START_TOKENS tokens), then every part of about SHARD training tokens goes on from there over its
+whole texts, and the parts' weights are averaged by their tokens. Its vocabulary grows with the root
+of the training tokens. Words are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is one end token; a null doc_id belongs to neither part and is
 not learned from; repeated rows are scored alike, each on its own; without training
@@ -29,14 +31,20 @@ from .common import materialize, read_table, slices, small_batches
 from .quality_classifier import remainder
 from .textvec import U, words
 
-CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
+#: Classes of the smallest vocabulary; there are as many classes as tokens in each.
+CLASSES, HIDDEN = 32, 16
+GROWTH = 1.5
 WINDOW = 16
-TRAIN_DOCS, TRAIN_TOKENS, EPOCHS, LANES = 1_000, 400_000, 2, 32
-#: Words whose counts every task holds; a fixed bound. The counts of all other words are joined.
+START_DOCS, START_TOKENS, EPOCHS, LANES = 1_000, 400_000, 2, 64
+#: Training tokens of a part that one task learns from, tokens that it holds at once, lanes and rate.
+SHARD, CHUNK, SHARD_LANES, SHARD_RATE = 4_000_000, 1_000_000, 256, 0.005
+#: Words whose counts every task holds, or as many as the vocabulary has, if more. The counts of all other words are joined.
 HEAVY = 65_536
 END_WORD = 0
 #: Tokens that a task scores together.
 TOKENS = 3_000_000
+#: Rows whose softmax is computed together, and weights of a row in the sum over the parts.
+_ROWS_AT_ONCE, _PART = 16_384, 65_536
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +70,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def classes_for(tokens: int) -> int:
+    """Classes of the vocabulary after so many training tokens; the vocabulary has the square of it, GROWTH ** 2 times the root of the tokens."""
+    return max(CLASSES, math.ceil(GROWTH * tokens**0.25))
+
+
 class Vocabulary:
     """The network's tokens, by falling count: words, the end, and all other words as one. Neighbours in rank form classes."""
 
     def __init__(self, ranked: list[tuple[int, int]], tokens: int):
-        room = CLASSES * PER_CLASS - 2
+        self.classes = classes_for(tokens)
+        room = self.classes**2 - 2
         own = [(w, c) for w, c in ranked if w != END_WORD][:room]
         end = next((c for w, c in ranked if w == END_WORD), 0)
         other = tokens - end - sum(c for _, c in own)
@@ -76,11 +90,14 @@ class Vocabulary:
         self.by_word = {w: i for i, (_, kind, w) in enumerate(order) if kind == 0}
         self.size = len(own)
         self.other_tokens = other
-        counts = np.ones(CLASSES * PER_CLASS)
+        counts = np.ones(self.classes**2)
         counts[: len(order)] += [max(0, x[0]) for x in order]
         self.counts = counts
 
 
+WEIGHTS = ("x", "u", "wc", "bc", "ww", "bw")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -89,15 +106,28 @@ class Network:
     """A gated recurrent layer whose input weights are looked up by token, and a softmax over classes, then over a class's tokens."""
 
     def __init__(self, counts: np.ndarray, seed: int = 5):
-        rng, h = np.random.default_rng(seed), HIDDEN
-        share = counts.reshape(CLASSES, PER_CLASS)
-        self.x = rng.normal(0, 0.1, (CLASSES * PER_CLASS, 3 * h)).astype(np.float32)
+        rng, h, c = np.random.default_rng(seed), HIDDEN, math.isqrt(len(counts))
+        share = counts.reshape(c, c)
+        self.classes, self.learned = c, 0
+        self.x = rng.normal(0, 0.1, (c * c, 3 * h)).astype(np.float32)
         self.u = rng.normal(0, 1 / math.sqrt(h), (h, 3 * h)).astype(np.float32)
-        self.wc = np.zeros((h, CLASSES), np.float32)
+        self.wc = np.zeros((h, c), np.float32)
         self.bc = np.log(share.sum(1) / share.sum()).astype(np.float32)
-        self.ww = np.zeros((CLASSES, h, PER_CLASS), np.float32)
+        self.ww = np.zeros((c, h, c), np.float32)
         self.bw = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
 
+    def flat(self) -> np.ndarray:
+        """All weights as one vector."""
+        return np.concatenate([getattr(self, k).ravel() for k in WEIGHTS])
+
+    def load(self, flat: np.ndarray) -> Network:
+        at = 0
+        for k in WEIGHTS:
+            old = getattr(self, k)
+            setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
+            at += old.size
+        return self
+
     def step(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         x, a = self.x[token], h @ self.u
         n = HIDDEN
@@ -107,13 +137,15 @@ class Network:
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log-probability of each token after the state in its row."""
-        cls, within = token // PER_CLASS, token % PER_CLASS
+        if len(token) > _ROWS_AT_ONCE:
+            return np.concatenate([self.log_probs(h[a : a + _ROWS_AT_ONCE], token[a : a + _ROWS_AT_ONCE]) for a in range(0, len(token), _ROWS_AT_ONCE)])
+        cls, within = token // self.classes, token % self.classes
         z = h @ self.wc + self.bc
         m = z.max(1)
         out = z[np.arange(len(z)), cls] - m - np.log(np.exp(z - m[:, None]).sum(1))
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
                 z = h[rows] @ self.ww[c] + self.bw[c]
@@ -121,64 +153,96 @@ class Network:
                 out[rows] += z[np.arange(len(rows)), within[rows]] - m - np.log(np.exp(z - m[:, None]).sum(1))
         return out
 
-    def train(self, tokens: np.ndarray, end: int, epochs: int = EPOCHS, rate: float = 0.01) -> Network:
-        """Adam over windows of lanes cut from one stream; the state passes from window to window and is cleared after an end."""
-        lanes = min(LANES, max(1, len(tokens) // (2 * WINDOW)))
-        steps = (len(tokens) // lanes) // WINDOW
-        if not steps:
-            return self
-        stream = tokens[: lanes * steps * WINDOW].reshape(lanes, -1).T
-        names, n = ["x", "u", "wc", "bc", "ww", "bw"], HIDDEN
-        m1, m2 = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
-        updates = 0
-        for epoch in range(epochs):
-            h = np.zeros((lanes, n), np.float32)
+    def train(self, tokens: np.ndarray, end: int, epochs: int = EPOCHS, rate: float = 0.01, most_lanes: int = LANES) -> Network:
+        return self.learn((tokens for _ in range(epochs)), end, epochs * len(tokens), rate, most_lanes)
+
+    def learn(self, chunks: Iterable[np.ndarray], end: int, expected: int, rate: float, most_lanes: int) -> Network:
+        """Adam over windows of lanes cut from each chunk, to its last token; the state passes from window to window and is cleared after an end.
+
+        The rate falls with the share of the expected tokens that are read, to a tenth."""
+        m1, m2 = ({k: np.zeros_like(getattr(self, k)) for k in WEIGHTS} for _ in range(2))
+        updates = read = 0
+        for tokens in chunks:
+            if not len(tokens):
+                continue
+            lanes = min(most_lanes, max(1, len(tokens) // (32 * WINDOW)))
+            steps = -(-len(tokens) // (lanes * WINDOW))
+            padding = lanes * steps * WINDOW - len(tokens)
+            stream = np.concatenate([tokens, np.full(padding, end, tokens.dtype)]).reshape(lanes, -1).T
+            counted = np.concatenate([np.ones(len(tokens), np.float32), np.zeros(padding, np.float32)]).reshape(lanes, -1).T
+            h = np.zeros((lanes, HIDDEN), np.float32)
             for at in range(0, steps * WINDOW, WINDOW):
-                grads = {k: np.zeros_like(getattr(self, k)) for k in names}
-                kept = []
-                for tok in stream[at : at + WINDOW]:
-                    # Predict tok from h, then read it.
-                    cls, within = tok // PER_CLASS, tok % PER_CLASS
-                    zc = h @ self.wc + self.bc
-                    pc = np.exp(zc - zc.max(1, keepdims=True))
-                    pc /= pc.sum(1, keepdims=True)
-                    ww = self.ww[cls]
-                    zw = np.einsum("bh,bhk->bk", h, ww) + self.bw[cls]
-                    pw = np.exp(zw - zw.max(1, keepdims=True))
-                    pw /= pw.sum(1, keepdims=True)
-                    pc[np.arange(lanes), cls] -= 1
-                    pw[np.arange(lanes), within] -= 1
-                    a, x = h @ self.u, self.x[tok]
-                    zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-                    new = np.tanh(x[:, 2 * n :] + zr[:, n:] * a[:, 2 * n :])
-                    live = (tok != end)[:, None].astype(np.float32)
-                    kept.append((h, tok, cls, pc, pw, ww, a, zr, new, live))
-                    h = live * (new + zr[:, :n] * (h - new))
-                back = np.zeros_like(h)
-                for h0, tok, cls, pc, pw, ww, a, zr, new, live in reversed(kept):
-                    d = back * live
-                    z, r = zr[:, :n], zr[:, n:]
-                    d_new = d * (1 - z) * (1 - new**2)
-                    d_z = d * (h0 - new) * z * (1 - z)
-                    d_r = d_new * a[:, 2 * n :] * r * (1 - r)
-                    gate = np.concatenate([d_z, d_r, d_new], 1)
-                    np.add.at(grads["x"], tok, gate)
-                    gate_a = np.concatenate([d_z, d_r, d_new * r], 1)
-                    grads["u"] += h0.T @ gate_a
-                    grads["wc"] += h0.T @ pc
-                    grads["bc"] += pc.sum(0)
-                    np.add.at(grads["ww"], cls, h0[:, :, None] * pw[:, None, :])
-                    np.add.at(grads["bw"], cls, pw)
-                    back = d * z + gate_a @ self.u.T + pc @ self.wc.T + np.einsum("bk,bhk->bh", pw, ww)
-                updates += 1
-                lr = rate * (1 - (epoch * steps + at / WINDOW) / (epochs * steps)) * math.sqrt(1 - 0.999**updates) / (1 - 0.9**updates)
-                for k, g in grads.items():
-                    g /= lanes * WINDOW
-                    m1[k] += 0.1 * (g - m1[k])
-                    m2[k] += 0.001 * (g * g - m2[k])
-                    getattr(self, k)[...] -= lr * m1[k] / (np.sqrt(m2[k]) + 1e-8)
+                weight = counted[at : at + WINDOW].ravel()
+                n = float(weight.sum())
+                if not n:
+                    break
+                h, grads = self.gradients(h, stream[at : at + WINDOW], weight, end)
+                updates, read = updates + 1, read + n
+                lr = rate * max(0.1, 1 - read / max(1, expected)) * math.sqrt(1 - 0.999**updates) / (1 - 0.9**updates)
+                for k, (rows, g) in grads.items():
+                    g /= n
+                    a, b = m1[k][rows], m2[k][rows]
+                    a = a + 0.1 * (g - a)
+                    b = b + 0.001 * (g * g - b)
+                    m1[k][rows], m2[k][rows] = a, b
+                    getattr(self, k)[rows] -= lr * a / (np.sqrt(b) + 1e-8)
         return self
 
+    def gradients(self, h: np.ndarray, window: np.ndarray, weight: np.ndarray, end: int) -> tuple[np.ndarray, dict]:
+        """(state after the window, for each kind of weights the rows that the window touches and their gradient)."""
+        n, lanes = HIDDEN, len(h)
+        states, kept = np.empty((*window.shape, n), np.float32), []
+        for t, tok in enumerate(window):
+            # Predict tok from h, then read it.
+            states[t] = h
+            a, x = h @ self.u, self.x[tok]
+            zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
+            new = np.tanh(x[:, 2 * n :] + zr[:, n:] * a[:, 2 * n :])
+            live = (tok != end)[:, None].astype(np.float32)
+            kept.append((a, zr, new, live))
+            h = live * (new + zr[:, :n] * (h - new))
+        flat, token = states.reshape(-1, n), window.ravel()
+        cls, within = token // self.classes, token % self.classes
+        p = self._errors(flat @ self.wc + self.bc, cls, weight)
+        g_ww, g_bw = np.zeros_like(self.ww), np.zeros_like(self.bw)
+        g_wc, g_bc, outer = flat.T @ p, p.sum(0), p @ self.wc.T
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[c] : cuts[c + 1]]
+            p = self._errors(flat[rows] @ self.ww[c] + self.bw[c], within[rows], weight[rows])
+            g_ww[c], g_bw[c] = flat[rows].T @ p, p.sum(0)
+            outer[rows] += p @ self.ww[c].T
+        outer = outer.reshape(states.shape)
+        gates, inner = np.empty((2, len(window), lanes, 3 * n), np.float32)
+        back = np.zeros_like(h)
+        for t in range(len(window) - 1, -1, -1):
+            a, zr, new, live = kept[t]
+            d = back * live
+            z, r = zr[:, :n], zr[:, n:]
+            d_new = d * (1 - z) * (1 - new**2)
+            gates[t, :, :n] = d * (states[t] - new) * z * (1 - z)
+            gates[t, :, n : 2 * n] = d_new * a[:, 2 * n :] * r * (1 - r)
+            gates[t, :, 2 * n :] = d_new
+            inner[t] = gates[t]
+            inner[t, :, 2 * n :] *= r
+            back = d * z + inner[t] @ self.u.T + outer[t]
+        order = np.argsort(token, kind="stable")
+        sorted_tokens = token[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]))
+        g_x = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first)
+        every = slice(None)
+        return h, {"x": (sorted_tokens[first], g_x), "u": (every, flat.T @ inner.reshape(-1, 3 * n)), "wc": (every, g_wc), "bc": (every, g_bc), "ww": (every, g_ww), "bw": (every, g_bw)}
+
+    @staticmethod
+    def _errors(z: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted softmax of z less the right answers."""
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z, out=z)
+        p *= (weight / p.sum(1))[:, None]
+        p[np.arange(len(p)), right] -= weight
+        return p
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10-probability of every whole token sequence; all advance together, the shorter ones drop out."""
         out = np.zeros(len(texts))
@@ -213,28 +277,85 @@ def tokens_of(texts: pa.Array, words_sorted: np.ndarray, ids: np.ndarray, other:
     return h, np.where(known, ids[at] if len(ids) else other, other), n
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary) -> Network:
-    """A network trained on the sample; only token numbers reach the driver, TRAIN_TOKENS at most."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+def train_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> Network:
+    """A network that learned from every text of docs, which have so many tokens.
+
+    The start's token numbers reach the driver, START_TOKENS at most; after that weights only, summed by ranges of them in tasks."""
     w = np.array(sorted(vocabulary.by_word, key=lambda x: x & (2**64 - 1)), np.int64)
-    ids = np.array([vocabulary.by_word[int(x)] for x in w], np.int16)
+    ids = np.array([vocabulary.by_word[int(x)] for x in w], np.int32)
     w, other, end = w.view(U), vocabulary.other, vocabulary.end
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = TRAIN_TOKENS
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for whole in batches:
             for batch in slices(whole):
                 _, tok, n = tokens_of(batch.column("text"), w, ids, other)
-                rows = []
-                for part in np.split(tok.astype(np.int16), np.cumsum(n)[:-1]):
-                    part = np.append(part, np.int16(end))[: max(0, left)]
-                    left -= len(part)
-                    rows.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["tokens"])
-
-    rows = sample.select("text").mapInArrow(run, "tokens binary").collect()
-    stream = np.frombuffer(b"".join(bytes(r["tokens"]) for r in rows), np.int16).astype(np.int64)[:TRAIN_TOKENS]
-    return Network(vocabulary.counts).train(stream, end)
+                for part in np.split(tok.astype(np.int32), np.cumsum(n)[:-1]):
+                    yield np.append(part, np.int32(end))
+
+    def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = START_TOKENS
+        for part in texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([part[: max(0, left)].tobytes()], pa.binary())], ["tokens"])
+            left -= len(part)
+
+    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
+    rows = sample.select("text").mapInArrow(start, "tokens binary").collect()
+    stream = np.frombuffer(b"".join(bytes(r["tokens"]) for r in rows), np.int32).astype(np.int64)[:START_TOKENS]
+    network = Network(vocabulary.counts).train(stream, end)
+    parts = max(1, -(-tokens // SHARD))
+    expected = tokens // parts
+
+    def go_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+
+        def chunks() -> Iterator[np.ndarray]:
+            nonlocal seen
+            held, size = [], 0
+            for part in texts(batches):
+                for at in range(0, len(part), CHUNK):  # a text longer than a chunk goes on in the next
+                    held.append(part[at : at + CHUNK])
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        seen += size
+                        yield np.concatenate(held).astype(np.int64)
+                        held, size = [], 0
+            seen += size
+            if held:
+                yield np.concatenate(held).astype(np.int64)
+
+        flat = Network(vocabulary_counts).load(weights).learn(chunks(), end, expected, SHARD_RATE, SHARD_LANES).flat()
+        if seen:
+            at = range(0, len(flat), _PART)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(at), pa.int64()), pa.array([seen] * len(at), pa.int64()), pa.array([flat[a : a + _PART].tobytes() for a in at], pa.binary())], ["part", "tokens", "weights"]
+            )
+
+    weights, vocabulary_counts = network.flat(), vocabulary.counts
+    trained = docs.select("text").coalesce(parts).mapInArrow(go_on, _PARTS)
+    mean = np.zeros(len(weights))
+    learned = 0
+    for r in trained.repartition("part").mapInArrow(_mean, _PARTS).toLocalIterator():
+        mean[r["part"] : r["part"] + _PART] = np.frombuffer(r["weights"], np.float32)
+        learned = r["tokens"]
+    network.learned = learned
+    return network.load(mean) if learned else network
+
+
+_PARTS = "part long, tokens long, weights binary"
+
+
+def _mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the parts of weights that a task gets, by tokens; one row for each part."""
+    total: dict[int, np.ndarray] = {}
+    tokens: dict[int, int] = {}
+    for b in batches:
+        for part, n, weights in zip(b.column("part").to_pylist(), b.column("tokens").to_pylist(), b.column("weights").to_pylist(), strict=True):
+            total[part] = total.get(part, 0) + n * np.frombuffer(weights, np.float32).astype(np.float64)
+            tokens[part] = tokens.get(part, 0) + n
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int64()), pa.array(list(tokens.values()), pa.int64()), pa.array([(v / tokens[k]).astype(np.float32).tobytes() for k, v in total.items()], pa.binary())],
+        ["part", "tokens", "weights"],
+    )
 
 
 _ROWS = "row long, doc_id long, n_tokens long, known long, heavy double, other double, n_other long, network double, word long, n long"
@@ -246,9 +367,9 @@ def score(spark: SparkSession, docs: DataFrame, training: DataFrame) -> DataFram
     counts = materialize(spark, word_counts(training), "counts")
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(facts["n"]), int(facts["v"])
-    ranked = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAVY).collect()]
+    ranked = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(max(HEAVY, classes_for(total) ** 2)).collect()]
     vocabulary = Vocabulary(ranked, total)
-    network = train_network(training, vocabulary)
+    network = train_network(training, vocabulary, total)
 
     heavy_words = np.array([w for w, _ in ranked], np.int64).view(U)
     order = np.argsort(heavy_words)
@@ -292,8 +413,8 @@ def score(spark: SparkSession, docs: DataFrame, training: DataFrame) -> DataFram
                         [x.split()[0] for x in _ROWS.split(", ")],
                     )
                 sums = [np.bincount(doc, x, len(n)) for x in (known, log, log * out, out)]
-                for i, (part, doc_id) in enumerate(zip(np.split(tok.astype(np.int16), np.cumsum(n)[:-1]), batch.column("doc_id").to_pylist(), strict=True)):
-                    held.append((np.append(part, np.int16(end)), [row + i, doc_id, int(n[i]) + 1, int(sums[0][i]) + end_known, sums[1][i] + end_log, sums[2][i], int(sums[3][i])]))
+                for i, (part, doc_id) in enumerate(zip(np.split(tok.astype(np.int32), np.cumsum(n)[:-1]), batch.column("doc_id").to_pylist(), strict=True)):
+                    held.append((np.append(part, np.int32(end)), [row + i, doc_id, int(n[i]) + 1, int(sums[0][i]) + end_known, sums[1][i] + end_log, sums[2][i], int(sums[3][i])]))
                 row += batch.num_rows
                 size += int(n.sum())
                 if size >= TOKENS:

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrygraph.llm import decontaminate, html_extract, jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, secrets, warc
 from quarrygraph.llm.common import new_path
@@ -262,6 +263,27 @@ def test_language_model(spark, docs, empty):
     assert language_model.score(spark, empty, empty).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark):
+    """A first document that alone has more tokens than the network starts on; the pattern stands in all others."""
+    ids = spark.range(200).selectExpr("id").orderBy(F.xxhash64("id"), "id").collect()
+    pattern = "alfa bravo charlie delta echo foxtrot golf hotel " * 100
+    long = " ".join(VOCAB[k] for k in np.random.default_rng(4).integers(0, len(VOCAB), 410_000))
+    data = [(r.id, pattern if k else long) for k, r in enumerate(ids)]
+    training = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = language_model.score(spark, training.filter(F.col("doc_id") == ids[5].id), training).first()
+    assert got.train_tokens == 410_001 + 199 * 801
+    assert got.score > 0.5 * got.base_score
+
+
+def test_network_reads_a_stream_to_its_end():
+    """A chunk that fills no window, and tokens past the last full window, are learned from."""
+    before = language_model.Network(np.ones(1024))
+    start = before.score([np.array([7, 8, 9])])[0]
+    assert language_model.Network(np.ones(1024)).train(np.array([7, 8, 9]), end=999, epochs=5).score([np.array([7, 8, 9])])[0] > start
+    tail = np.array([5] * 1024 + [700] * 10)
+    assert language_model.Network(np.ones(1024)).train(tail, end=999).bw[700 // 32, 700 % 32] > before.bw[700 // 32, 700 % 32]
+
+
 def test_network_learns_and_carries_state():
     pattern = np.array([3, 40, 77, 500, 1000, 2] * 3000)
     net = language_model.Network(np.ones(1024)).train(pattern, end=999, epochs=2)
