@@ -8,7 +8,7 @@ The stated query set, the benchmark, is taken in blocks of ITEMS against all doc
    half) and for every item. Its leading right singular vectors come from a randomised range finder: tasks sum
    A'(A O) for a random O over their own rows, rows of the sums are added up by term range.
 3. A passage is a candidate for an item if their vectors in the latent space are near by cosine and
-   the passage covers enough of the item.
+   the passage covers enough of the item, or of one of the windows, no longer than a passage, that a longer item is cut into.
 4. Around a candidate, the longest common subsequence of item and document decides: nearly all of an
    item's words in order is a hit; fewer are one if the item's weighty words are there and its
    answer (the words of its last part) is too.
@@ -57,6 +57,8 @@ class Block:
         self.ids = [i for i, _ in found]
         self.terms = np.unique(np.concatenate([p for _, p in found])) if found else np.zeros(0, U)
         self.words = [np.searchsorted(self.terms, p) for _, p in found]
+        #: (item, words) of each window of the items that are longer than a passage.
+        self.windows = [(k, part) for k, w in enumerate(self.words) if len(w) > 2 * HALF for part in np.array_split(w, -(-len(w) // (2 * HALF)))]
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words of no item."""
@@ -86,7 +88,10 @@ class Block:
         u, _, _ = np.linalg.svd(f, full_matrices=False)
         self.basis = np.ascontiguousarray(u[:, :RANK], np.float32)
         self.weighted = self.weight[:, None] * self.basis
-        self.items = self.matrix @ self.basis
+        # Rows of the search: every item as a whole, then the windows that have any weight.
+        windows = [(k, self.weighted[part].sum(0)) for k, part in self.windows if self.weight[part].any()]
+        self.owner = np.array([*range(len(self.ids)), *(k for k, _ in windows)], np.int64)
+        self.items = np.concatenate([self.matrix @ self.basis, np.array([v for _, v in windows], np.float32).reshape(len(windows), self.basis.shape[1])])
         self.energy = (self.items**2).sum(1)
 
 
@@ -244,7 +249,7 @@ def _search(block: Block):
                     dot = v[rows] @ block.items.T
                     r, k = np.nonzero((dot >= needed[None, :]) & (dot >= COSINE * size[rows, None] * long[None, :]))
                     done = set()
-                    for p, item in sorted(zip(rows[r].tolist(), k.tolist(), strict=True), key=lambda y: (y[1], y[0])):
+                    for item, p in sorted(set(zip(block.owner[k].tolist(), rows[r].tolist(), strict=True))):
                         d = int(doc[p])
                         a = HALF * int(p - np.searchsorted(doc, d))
                         if (d, item) in done:

@@ -232,6 +232,17 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find(spark, empty, bench).count() == 0 and decontaminate.find(spark, every, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_long_items(spark):
+    """Verbatim copies of items of several passages' length; each passage alone covers little of the item."""
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(4, 8))) for _ in range(6_000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([20, 60, 130, 150, 200, 300, 900] * 3)]
+    data = [(100 + i, f"{text(33)} {t} {text(51)}") for i, t in items] + [(500 + i, text(200)) for i in range(30)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find(spark, spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(100 + i, i) for i, _ in items}
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
