@@ -34,12 +34,12 @@ from .textvec import ALNUM, U, words
 
 #: Items of a block; bounds what a task holds, whatever the benchmark's size.
 ITEMS = 512
-RANK, OVERSAMPLE = 128, 16
+RANK, OVERSAMPLE = 192, 16
 #: Words of half a passage.
 HALF = 20
 MIN_WORDS = 8
 #: Terms in more than this share of passages, and in so many at least, weigh nothing in the search (they do count in the comparison).
-COMMON, COMMON_LEAST = 0.02, 1_000
+COMMON, COMMON_LEAST = 0.1, 1_000
 #: Cosine in the latent space, and share of the item's weight that the passage must cover, for a candidate.
 COSINE, COVER = 0.2, 0.3
 #: Shares of the item's words in the common subsequence: for a hit, and for a paraphrase whose answer stands.

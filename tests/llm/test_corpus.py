@@ -243,6 +243,20 @@ def test_decontaminate_long_items(spark):
     assert got == {(100 + i, i) for i, _ in items}
 
 
+def test_decontaminate_without_the_rarest_words(spark):
+    """Near copies that keep only words which stand in 2 to 10 % of passages."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(640)]
+    text = lambda n: [r.choice(vocab) for _ in range(n)]
+    data, items = [(i, " ".join(text(420))) for i in range(1_000)], []
+    for i in range(10):
+        w = r.sample(vocab, 20)
+        items.append((i, " ".join(f"rare{i}x{k}" if k % 10 == 2 else x for k, x in enumerate(w))))
+        data.append((2_000 + i, " ".join(text(40) + [f"new{i}x{k}" if k % 10 == 2 else x for k, x in enumerate(w)] + text(40))))
+    got = decontaminate.find(spark, spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(2_000 + i, i) for i in range(10)}
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
