@@ -46,13 +46,13 @@ HALF, CHUNK = 20, 4_096
 SHORT, PHRASE = 8, 3
 COMMON, KEEP = 0.1, 0.7
 #: Terms with more than this share are multiplied as a dense matrix, others row by row; the sums are the same.
-DENSE = 0.005
+DENSE = 0.02
 #: Cosine in the latent space, and share of the item's weight that the passage must cover, for a candidate.
 COSINE, COVER = 0.2, 0.3
 #: Shares of the item's words in the common subsequence: for a hit, and for a paraphrase whose answer stands.
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 #: Numbers of a row in the sum of sketches.
-_PART = 65_536
+_PART = 8_192
 
 
 class Items:
@@ -221,6 +221,16 @@ class Texts:
                 yield part, slice(int(a), int(b)), int(self.first[part.start])
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray, row: np.ndarray) -> None:
+    """out[at] += values[row], at being sorted: first the first row of each place, then the second, so that no place comes twice at once."""
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(at)))
+    while len(first):
+        out[at[first]] += values[row[first]]
+        more = many > 1
+        first, many = first[more] + 1, many[more] - 1
+
+
 class _Product:
     """The term counts of some half-passages as a matrix: dense columns first, the others row by row."""
 
@@ -232,20 +242,15 @@ class _Product:
 
     def times(self, table: np.ndarray) -> np.ndarray:
         out = self.counts @ table[: self.dense] if self.dense else np.zeros((self.halves, table.shape[1]), np.float32)
-        if len(self.half):
-            cut = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
-            out[self.half[cut]] += np.add.reduceat(table[self.column], cut)
+        _add_rows(out, self.half, table, self.column)
         return out
 
     def add_transposed(self, values: np.ndarray, total: np.ndarray) -> None:
         """total += counts' values."""
         if self.dense:
             total[: self.dense] += self.counts.T @ values
-        if len(self.half):
-            order = np.argsort(self.column, kind="stable")
-            c = self.column[order]
-            cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            total[c[cut]] += np.add.reduceat(values[self.half[order]], cut)
+        order = np.argsort(self.column, kind="stable")
+        _add_rows(total, self.column[order], values, self.half[order])
 
 
 def _products(blocks: list[Block], columns: list[np.ndarray], batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -309,9 +314,11 @@ def lcs(item: np.ndarray, doc: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def verify(item: np.ndarray, region: np.ndarray, idf: np.ndarray) -> tuple[float, float, float] | None:
-    """(common words, weight covered, answer covered) as shares of the item, if the terms of region have the item."""
-    present = np.isin(item, region)
+def verify(item: np.ndarray, region: np.ndarray, idf: np.ndarray, flags: np.ndarray) -> tuple[float, float, float] | None:
+    """(common words, weight covered, answer covered) as shares of the item, if the terms of region have the item. flags: false for each term."""
+    flags[region] = True
+    present = flags[item]
+    flags[region] = False
     if present.mean() < PARAPHRASE:  # the common subsequence can't be longer
         return None
     common = lcs(item, region) / len(item)
@@ -341,7 +348,7 @@ _HIT_TYPES = [pa.int64()] * 4 + [pa.float64()] * 3
 
 def _search(items: Items, blocks: list[Block], idf: np.ndarray, short: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [b.columns(len(items.terms)) for b in blocks]
+        columns, flags = [b.columns(len(items.terms)) for b in blocks], np.zeros(len(items.terms), bool)
         for batch in batches:
             hits: dict[tuple[int, int], tuple] = {}
             if short:
@@ -355,14 +362,16 @@ def _search(items: Items, blocks: list[Block], idf: np.ndarray, short: bool):
                 size = np.sqrt((passage**2).sum(1))
                 rows = np.flatnonzero(size >= float((needed / np.maximum(long, 1e-9)).min()))  # none shorter can cover enough of any item
                 dot = passage[rows] @ block.vectors.T
-                r, k = np.nonzero((dot >= needed[None, :]) & (dot >= COSINE * size[rows, None] * long[None, :]))
+                r, k = np.nonzero(dot >= needed[None, :])
+                near = dot[r, k] >= COSINE * size[rows[r]] * long[k]
+                r, k = r[near], k[near]
                 for k, p in sorted(set(zip(block.owner[k].tolist(), (part.start + rows[r]).tolist(), strict=True))):
                     d, item = int(texts.owner[p]), int(block.members[k])
                     if (d, item) in hits:
                         continue
                     w, at, a, b = items.words[item], HALF * int(texts.nth[p]), texts.start[d], texts.end[d]
                     x, y = np.searchsorted(texts.place[a:b], [at - len(w), at + 2 * HALF + len(w)])
-                    found = verify(w, texts.term[a + x : a + y], idf)
+                    found = verify(w, texts.term[a + x : a + y], idf, flags)
                     if found:
                         hits[d, item] = found
             names = [batch.column(c).to_pylist() for c in ("doc_id", "a", "b")]
