@@ -38,13 +38,13 @@ WINDOW = 16
 START_DOCS, START_TOKENS, EPOCHS, LANES = 1_000, 400_000, 2, 64
 #: Training tokens of a part that one task learns from, tokens that it holds at once, lanes and rate.
 SHARD, CHUNK, SHARD_LANES, SHARD_RATE = 4_000_000, 1_000_000, 256, 0.005
-#: Words whose counts every task holds, or as many as the vocabulary has, if more. The counts of all other words are joined.
-HEAVY = 65_536
+#: Words whose counts every task holds (20 bytes each), or as many as the vocabulary has, if more. The counts of all other words are joined.
+HEAVY = 1 << 20
 END_WORD = 0
 #: Tokens that a task scores together.
 TOKENS = 3_000_000
-#: Rows whose softmax is computed together, and weights of a row in the sum over the parts.
-_ROWS_AT_ONCE, _PART = 16_384, 65_536
+#: Rows whose softmax is computed together, rows of one class in a tile of these, and weights of a row in the sum over the parts.
+_ROWS_AT_ONCE, _TILE, _PART = 4_096, 32, 65_536
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +102,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _tiles(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in tiles of _TILE of one class, -1 where there is none, and each tile's class, in order."""
+    n = np.bincount(cls, minlength=classes)
+    tiles = -(-n // _TILE)
+    order = np.argsort(cls, kind="stable")
+    rows = np.full(int(tiles.sum()) * _TILE, -1, np.int64)
+    rows[np.arange(len(cls)) + np.repeat((np.cumsum(tiles) - tiles) * _TILE - (np.cumsum(n) - n), n)] = order
+    return rows.reshape(-1, _TILE), np.repeat(np.arange(classes), tiles)
+
+
 class Network:
     """A gated recurrent layer whose input weights are looked up by token, and a softmax over classes, then over a class's tokens."""
 
@@ -140,19 +150,24 @@ class Network:
         if len(token) > _ROWS_AT_ONCE:
             return np.concatenate([self.log_probs(h[a : a + _ROWS_AT_ONCE], token[a : a + _ROWS_AT_ONCE]) for a in range(0, len(token), _ROWS_AT_ONCE)])
         cls, within = token // self.classes, token % self.classes
-        z = h @ self.wc + self.bc
-        m = z.max(1)
-        out = z[np.arange(len(z)), cls] - m - np.log(np.exp(z - m[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.ww[c] + self.bw[c]
-                m = z.max(1)
-                out[rows] += z[np.arange(len(rows)), within[rows]] - m - np.log(np.exp(z - m[:, None]).sum(1))
+        out = self._log_softmax(h @ self.wc, self.bc, cls)
+        rows, of = _tiles(cls, self.classes)
+        z = np.matmul(np.concatenate([h, np.zeros((1, HIDDEN), np.float32)])[rows], self.ww[of])
+        some = rows >= 0
+        out[rows[some]] += self._log_softmax(z, self.bw[of][:, None, :], np.append(within, 0)[rows])[some]
         return out
 
+    @staticmethod
+    def _log_softmax(z: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log(softmax(z + bias)) along the last axis, at the right answers; z is overwritten."""
+        z += bias
+        out = np.take_along_axis(z, right[..., None], -1)[..., 0]
+        if z.size and z.max() > 60:
+            m = z.max(-1)
+            z -= m[..., None]
+            out -= m
+        return out - np.log(np.exp(z, out=z).sum(-1))
+
     def train(self, tokens: np.ndarray, end: int, epochs: int = EPOCHS, rate: float = 0.01, most_lanes: int = LANES) -> Network:
         return self.learn((tokens for _ in range(epochs)), end, epochs * len(tokens), rate, most_lanes)
 
@@ -203,16 +218,18 @@ class Network:
             h = live * (new + zr[:, :n] * (h - new))
         flat, token = states.reshape(-1, n), window.ravel()
         cls, within = token // self.classes, token % self.classes
-        p = self._errors(flat @ self.wc + self.bc, cls, weight)
-        g_ww, g_bw = np.zeros_like(self.ww), np.zeros_like(self.bw)
+        p = self._errors(flat @ self.wc, self.bc, cls, weight)
         g_wc, g_bc, outer = flat.T @ p, p.sum(0), p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            p = self._errors(flat[rows] @ self.ww[c] + self.bw[c], within[rows], weight[rows])
-            g_ww[c], g_bw[c] = flat[rows].T @ p, p.sum(0)
-            outer[rows] += p @ self.ww[c].T
+        # Rows of one class meet its weights together, in tiles; the row behind the last is empty.
+        rows, of = _tiles(cls, self.classes)
+        x, w = np.concatenate([flat, np.zeros((1, n), np.float32)])[rows], self.ww[of]
+        p = self._errors(np.matmul(x, w), self.bw[of][:, None, :], np.append(within, 0)[rows], np.append(weight, np.float32(0))[rows])
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        g_ww, g_bw = np.zeros_like(self.ww), np.zeros_like(self.bw)
+        g_ww[of[first]] = np.add.reduceat(np.matmul(x.transpose(0, 2, 1), p), first)
+        g_bw[of[first]] = np.add.reduceat(p.sum(1), first)
+        some = rows >= 0
+        outer[rows[some]] += np.matmul(p, w.transpose(0, 2, 1))[some]
         outer = outer.reshape(states.shape)
         gates, inner = np.empty((2, len(window), lanes, 3 * n), np.float32)
         back = np.zeros_like(h)
@@ -235,12 +252,15 @@ class Network:
         return h, {"x": (sorted_tokens[first], g_x), "u": (every, flat.T @ inner.reshape(-1, 3 * n)), "wc": (every, g_wc), "bc": (every, g_bc), "ww": (every, g_ww), "bw": (every, g_bw)}
 
     @staticmethod
-    def _errors(z: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weighted softmax of z less the right answers."""
-        z -= z.max(1, keepdims=True)
+    def _errors(z: np.ndarray, bias: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted softmax of z + bias, along the last axis, less the right answers; z is overwritten."""
+        z += bias
+        if z.max() > 60:
+            z -= z.max(-1, keepdims=True)
         p = np.exp(z, out=z)
-        p *= (weight / p.sum(1))[:, None]
-        p[np.arange(len(p)), right] -= weight
+        p *= (weight / p.sum(-1))[..., None]
+        right = right[..., None]
+        np.put_along_axis(p, right, np.take_along_axis(p, right, -1) - weight[..., None], -1)
         return p
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -367,16 +387,20 @@ def score(spark: SparkSession, docs: DataFrame, training: DataFrame) -> DataFram
     counts = materialize(spark, word_counts(training), "counts")
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(facts["n"]), int(facts["v"])
-    ranked = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(max(HEAVY, classes_for(total) ** 2)).collect()]
-    vocabulary = Vocabulary(ranked, total)
+    room = classes_for(total) ** 2
+    ends = counts.filter(F.col("word") == END_WORD).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
+    top = counts.orderBy(F.desc("c"), "word").limit(max(HEAVY, room)).toArrow()
+    own_words = zip(top.column("word").slice(0, room).to_pylist(), top.column("c").slice(0, room).to_pylist(), strict=True)
+    vocabulary = Vocabulary([(END_WORD, ends), *(x for x in own_words if x[0] != END_WORD)], total)
     network = train_network(training, vocabulary, total)
 
-    heavy_words = np.array([w for w, _ in ranked], np.int64).view(U)
-    order = np.argsort(heavy_words)
-    heavy_words = heavy_words[order]
-    logs = np.log10(np.array([c for _, c in ranked], np.float64)[order] + 0.5)
-    own = np.array([vocabulary.by_word.get(int(w), -1) for w in heavy_words.view(np.int64)], np.int64)
-    end_log, end_known = math.log10(next((c for w, c in ranked if w == END_WORD), 0) + 0.5), int(any(w == END_WORD for w, _ in ranked))
+    heavy_words, heavy_counts = top.column("word").to_numpy(), top.column("c").to_numpy()
+    own = np.full(len(heavy_words), -1, np.int32)
+    for k, w in enumerate(heavy_words[:room].tolist()):
+        own[k] = vocabulary.by_word.get(w, -1)
+    end_log, end_known = math.log10(ends + 0.5), int(ends > 0)
+    order = np.argsort(heavy_words.view(U))
+    heavy_words, own, logs = heavy_words.view(U)[order], own[order], np.log10(heavy_counts[order] + 0.5)
     other, end = vocabulary.other, vocabulary.end
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
