@@ -1,17 +1,19 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id; the tasks of the range sort each write files of their own and
-start a new file when one reaches `roll_bytes` compressed. A file is written under a temporary name;
-its row in the manifest (a Parquet table, which Spark commits as a whole) makes it count; files of the
-manifest then get their final names. A repeated or lost task leaves at most a temporary file that no
-manifest names.
+Records are range-sorted by page_id and payload digest. The bounds of the shards are quantiles of a sample that hashes choose, so they depend on
+the rows and the number of shards alone; a task takes one shard after the other and starts a new file when one reaches `roll_bytes`
+compressed. A file is written under a temporary name; its row in the manifest (a Parquet table, which Spark commits as a whole) makes
+it count; files of the manifest then get their final names, and what else lies under temporary names is deleted. A repeated or lost
+task leaves at most a temporary file that no manifest names. `write` goes on where an earlier one stopped: with a whole manifest it only finishes the
+names, without one it writes anew. Until then `read` finds the files under either name.
 
 Headers and digests are made anew from the page. Of records with equal payloads of REVISIT_BYTES
 or more, that with the largest page_id is the response and all others revisit it.
 
 Defined cases: a null html is an empty payload; a null url gives no target header; pages with a null id
 are written, never revisited and, having no id, always responses; repeated rows give repeated
-records; an empty table gives no file and an empty result; further columns are ignored.
+records, numbered from 0, next to each other in one shard; an empty table gives no file and an empty result; further columns are ignored. A
+page's html is held whole by its task, a few times over while it is compressed; all other records pass by one at a time.
 """
 
 from __future__ import annotations
@@ -24,17 +26,18 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table, small_batches
+from .common import delete_path, new_path, read_table, small_batches
 
 REVISIT_BYTES = 1_000
 ROLL_BYTES = 64 << 20
 LEVEL = 4
 #: Pages carry no time of capture, and a clock would make runs differ.
 DATE = "1970-01-01T00:00:00Z"
+#: Rows of the sample that the shards' bounds come from, about, and parts into which the pages of one payload are dealt to be told what they revisit.
+SAMPLE, SALT = 20_000, 16
 MANIFEST = "name string, temporary string, bytes long, records long, sha1 string"
 
 
@@ -47,8 +50,8 @@ def record(kind: str, page_id: int | None, nth: int, url: str | None, payload: b
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{nth}>", f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {' '.join(url.split())}"] if url else []), f"WARC-Payload-Digest: sha1:{_b32(digest)}",
-        f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:0>"] if kind == "revisit" else []),
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{digest}:{nth}>", f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {' '.join(url.split())}"] if url else []), f"WARC-Payload-Digest: sha1:{_b32(digest)}",
+        f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}:0>"] if kind == "revisit" else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -96,54 +99,103 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("temporary", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha1", pa.string())]))
 
 
+def bounds(pages: DataFrame, shards: int) -> list[tuple[int, str]]:
+    """The last (page_id, digest) of every shard but the last: quantiles of the keys whose hash falls into the sample, counted with their rows."""
+    key = pages.select(_key(), "digest")
+    total = key.count()
+    chosen = key.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(max(1, total // SAMPLE))) == 0).groupBy("key", "digest").agg(F.count("*").alias("n"))
+    rows = sorted(chosen.collect())  # about SAMPLE rows, whatever the table's size
+    each, so_far, out = sum(r["n"] for r in rows) / shards, 0, []
+    for r in rows:
+        so_far += r["n"]
+        while so_far >= each * (len(out) + 1) and len(out) < shards - 1:
+            out.append((r["key"], r["digest"]))
+    return out
+
+
+def _key() -> Column:
+    """page_id for sorting, null first."""
+    return F.coalesce(F.col("page_id"), F.lit(-(2**63))).alias("key")
+
+
+def _shard(limits: list[tuple[int, str]], low: int = 0, high: int | None = None) -> Column:
+    """The number of the first bound that a row doesn't pass, by halving."""
+    high = len(limits) if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    key, digest = limits[mid]
+    below = (F.col("key") < key) | ((F.col("key") == key) & (F.col("digest") <= digest))
+    return F.when(below, _shard(limits, low, mid)).otherwise(_shard(limits, mid + 1, high))
+
+
 def write(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
-    """Write page_id, url, html of pages below folder; the manifest, read back."""
+    """Write page_id, url, html of pages below folder; the manifest, read back. What an earlier call left in folder is finished."""
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = f"{folder}/manifest.parquet"
+    if not _exists(spark, f"{manifest}/_SUCCESS"):
+        _write(spark, pages, folder, manifest, roll_bytes, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return finish(spark, folder)
+
+
+def _write(spark: SparkSession, pages: DataFrame, folder: str, manifest: str, roll_bytes: int, shards: int) -> None:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     long = pages.filter((F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     kept = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
-    revisits = long.join(kept, "digest").filter("page_id <> refers_to").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    # Pages of one payload may be very many: they are dealt out by id, and what they revisit is copied to each part.
+    dealt = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    revisits = long.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(dealt, ["digest", "salt"]).filter("page_id <> refers_to")
+    revisits = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
     # The note that a page revisits another travels with the page: one shuffle of the payloads.
-    every = revisits.unionByName(pages.withColumn("refers_to", F.lit(None).cast("long")))
-    every = every.repartitionByRange(shards, "page_id").sortWithinPartitions(F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "digest", "url")
+    every = revisits.unionByName(pages.withColumn("refers_to", F.lit(None).cast("long"))).withColumn("key", _key())
+    every = every.withColumn("shard", _shard(bounds(pages, shards))).repartitionById(shards, "shard")
+    every = every.sortWithinPartitions("shard", "key", "digest", F.col("refers_to").asc_nulls_last(), "url").select("shard", "page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = _Roller(folder, TaskContext.get().partitionId(), roll_bytes)
-        last, nth, notes = object(), 0, {}
+        roller, last, nth, note = None, None, 0, None
         for batch in batches:
             rows = []
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if page_id != last:
-                    last, nth, notes = page_id, 0, {}
+            for shard, page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if roller is None or shard != roller.shard:
+                    rows += roller.close() if roller else []
+                    roller = _Roller(folder, shard, roll_bytes)
+                if (shard, page_id, digest) != last:
+                    last, nth, note = (shard, page_id, digest), 0, None
                 if refers_to is not None:
-                    notes[digest] = refers_to
+                    note = refers_to
                     continue
-                to = notes.get(digest)
-                rows += roller.add(record("revisit" if to is not None else "response", page_id, nth, url, payload, digest, to))
+                rows += roller.add(record("revisit" if note is not None else "response", page_id, nth, url, payload, digest, note))
                 nth += 1
             yield _batch(rows)
-        yield _batch(list(roller.close()))
+        yield _batch(list(roller.close()) if roller else [])
 
-    manifest = f"{folder}/manifest.parquet"
-    every.mapInArrow(run, MANIFEST).write.parquet(manifest)
-    found = spark.read.schema(MANIFEST).parquet(manifest)
+    every.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(manifest)
+
+
+def finish(spark: SparkSession, folder: str) -> DataFrame:
+    """Give the files of folder's manifest their final names and delete what else lies under temporary ones; the manifest."""
+    found = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest.parquet")
 
     def rename(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, temporary in zip(batch.column("name").to_pylist(), batch.column("temporary").to_pylist(), strict=True):
-                if where.get_file_info(f"{path}/{temporary}").type == fs.FileType.File:
-                    where.move(f"{path}/{temporary}", f"{path}/{name}")
-                elif where.get_file_info(f"{path}/{name}").type != fs.FileType.File:
-                    raise FileNotFoundError(f"{path}/{name}")
+                if where.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+                    continue
+                where.move(f"{path}/{temporary}", f"{path}/{name}")
             yield batch
 
     found.mapInArrow(rename, MANIFEST).write.format("noop").mode("overwrite").save()
+    delete_path(spark, f"{folder}/_temporary")
     return found
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def members(stream: Iterable[bytes]) -> Iterator[bytes]:
     """The gzip members of a stream, each decompressed; memory holds one."""
     d, parts = zlib.decompressobj(31), []
@@ -177,8 +229,9 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, payload: bool =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
+            for name, temporary in zip(batch.column("name").to_pylist(), batch.column("temporary").to_pylist(), strict=True):
                 rows, held = [], 0
+                name = name if where.get_file_info(f"{path}/{name}").type == fs.FileType.File else temporary
                 with where.open_input_stream(f"{path}/{name}", compression=None) as f:
                     for data in members(iter(lambda f=f: f.read(1 << 20), b"")):
                         head, block = parse(data)
@@ -189,7 +242,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, payload: bool =
                         if head["warc-type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
                             raise ValueError(f"{name}: a payload does not have its digest")
                         row = {"page_id": _number(head["warc-record-id"]), "url": head.get("warc-target-uri"), "record_type": head["warc-type"], "payload_bytes": int(http.rpartition(b"Content-Length:")[2]), "payload_digest": digest}
-                        rows.append(row | {"refers_to": _number(head["warc-refers-to"]) if "warc-refers-to" in head else None, "file": name} | ({"payload": body if head["warc-type"] == "response" else None} if payload else {}))
+                        rows.append(row | {"refers_to": _number(head["warc-refers-to"]) if "warc-refers-to" in head else None, "file": name.rpartition("/")[2]} | ({"payload": body if head["warc-type"] == "response" else None} if payload else {}))
                         held += len(data) * payload
                         if len(rows) >= 2_000 or held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -199,7 +252,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, payload: bool =
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("file", pa.string())]
     schema = pa.schema(fields + [("payload", pa.binary())] * payload)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("name").repartition(files, "name").mapInArrow(run, RECORDS + ", payload binary" * payload)
+    return manifest.select("name", "temporary").repartition(files, "name").mapInArrow(run, RECORDS + ", payload binary" * payload)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,39 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, f, nothing).count() == 0
 
 
+@pytest.mark.parametrize("shards", [4, 7])
+def test_warc_twice(spark, shards):
+    """Two writes of the same rows, in another order and after other jobs, give equal files."""
+    r = random.Random(6)
+    data = [(r.randint(0, 3_000) if i % 50 else None, f"http://h/{i % 90}", "<p>" + "x" * r.choice([10, 900, 2_000, 5_000]) + str(i % 40)) for i in range(3_000)]
+    name = lambda m: sorted((x.name, x.bytes, x.records, x.sha1) for x in m.collect())
+    one = warc.write(spark, spark.createDataFrame(data, "page_id long, url string, html string"), new_path(spark, "warc"), 20_000, shards)
+    r.shuffle(data)
+    two = warc.write(spark, spark.createDataFrame(data, "page_id long, url string, html string").repartition(11), new_path(spark, "warc"), 20_000, shards)
+    assert name(one) == name(two) and sum(x.records for x in one.collect()) == 3_000
+    sizes = collections.Counter()
+    for x in one.collect():
+        sizes[x.name[:12]] += x.records
+    assert len(sizes) == shards and max(sizes.values()) < 1.3 * 3_000 / shards
+
+
+def test_warc_goes_on(spark, monkeypatch):
+    """A driver that is lost between the manifest and the names, or before the manifest."""
+    df = spark.createDataFrame([(i, "u", "<p>" * i) for i in range(40)], "page_id long, url string, html string")
+    folder = new_path(spark, "warc")
+    monkeypatch.setattr(warc, "finish", lambda *a: None)
+    warc.write(spark, df, folder, 100, 2)
+    monkeypatch.undo()
+    early = spark.read.schema(warc.MANIFEST).parquet(f"{folder}/manifest.parquet")
+    want = sorted((x.page_id, x.payload_digest, x.file.split(".gz")[0]) for x in warc.read(spark, folder, early).collect())
+    assert len(want) == 40
+    found = warc.write(spark, df.limit(0), folder, 100, 2)  # nothing is written anew
+    assert sorted((x.page_id, x.payload_digest, x.file.split(".gz")[0]) for x in warc.read(spark, folder, found).collect()) == want
+    assert not warc._exists(spark, f"{folder}/_temporary")
+    warc.delete_path(spark, f"{folder}/manifest.parquet/_SUCCESS")
+    assert warc.read(spark, folder, warc.write(spark, df, folder, 100, 2)).count() == 40
+
+
 def test_mix(spark, docs, empty):
     got = mixing.plan(docs).collect()
     sizes = collections.defaultdict(int)
