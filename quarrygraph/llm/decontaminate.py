@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, read_table, slices, small_batches
+from .common import broadcast_if_small, columns, materialize, read_table, slices, small_batches
 from .textvec import ALNUM, U, mix, words
 
 #: Items of a block; terms that the blocks of one pass have together, or one block, if it alone has more; words of a round.
@@ -454,4 +454,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = materialize(spark, hits(spark, docs, read_table(spark, sf_dir, "benchmark")).select(F.col("a").alias("_hit_a"), F.col("b").alias("_hit_b")).distinct(), "contaminated")
     a, b = _text_name()
     side = broadcast_if_small(found, found.count())
-    return docs.join(side, (a == F.col("_hit_a")) & (b == F.col("_hit_b")), "left_anti").select(*docs.columns)
+    return docs.join(side, (a == F.col("_hit_a")) & (b == F.col("_hit_b")), "left_anti").select(*columns(docs))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, read_table, slices, small_batches
+from .common import broadcast_if_small, columns, materialize, read_table, slices, small_batches
 from .textvec import U, mix, words
 
 WORDS = 5
@@ -344,4 +344,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.join(broadcast_if_small(kept.select("doc_id"), facts["n"]), "doc_id", "left_semi")
     if (facts["most"] or 0) > 1:
         out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return out.unionByName(docs.filter("doc_id is null")).select(*columns(docs))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import columns, materialize, read_table
 
 #: The share of good documents is kept within these bounds.
 PRIOR = (0.5, 0.98)
@@ -152,7 +152,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents that the rules keep. The texts are judged once, in the scan, and written with their votes: a filter on
     the votes would otherwise be pushed below them, and repeat what they are made of many times over."""
     rules = votes()
-    wide = features(docs.withColumn("_row", F.struct(*docs.columns)), ["_row"])
+    wide = features(docs.withColumn("_row", F.struct(*columns(docs))), ["_row"])
     wide = materialize(spark, wide.select("_row", base_failed().alias("failed"), *(v.cast("tinyint").alias(f"v_{r}") for r, v in rules.items())), "judged")
     counted = wide.groupBy(*(f"v_{r}" for r in rules)).agg(F.count("*").alias("n"))
     prior, weights = estimate(materialize(spark, counted.coalesce(1), "votes"), list(rules))

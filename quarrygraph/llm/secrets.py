@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, small_batches
+from .common import columns, read_table, slices, small_batches
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -316,7 +316,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with the secrets in their texts replaced; n_chars follows the new text."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    packed = docs.select(F.struct(*columns(docs)).alias("_row"), "text")
     out = find_secrets(spark, packed, rewrite=True)
-    cols = [F.col("redacted").alias(c) if c == "text" else F.when(F.col("_row.n_chars").isNull(), None).otherwise(F.length("redacted")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    cols = [F.col("redacted").alias(c) if c == "text" else F.when(F.col("_row.n_chars").isNull(), None).otherwise(F.length("redacted")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return out.select(*cols)

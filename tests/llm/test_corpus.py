@@ -140,7 +140,8 @@ def test_warc_goes_on(spark, monkeypatch):
 
 
 def test_mix(spark, docs, empty):
-    got = mixing.plan(docs).collect()
+    got = mixing.plan(spark, docs).collect()
+    text = {r[0]: r[1] for r in rows()}
     sizes = collections.defaultdict(int)
     for _, t, _, s, *_ in rows():
         sizes[s] += len(WORDS.findall(t or ""))
@@ -154,12 +155,38 @@ def test_mix(spark, docs, empty):
         left -= sum(3 * sizes[s] for s in full)
         free = free - full if full else set()
     for r in got:
-        assert r.size == len(WORDS.findall(r.text or "")) and r.source_size == sizes[r.source]
+        assert r.size == len(WORDS.findall(text[r.doc_id] or "")) and r.source_size == sizes[r.source]
         assert math.isclose(r.target, target[r.source], rel_tol=1e-9)
         rate = r.target / r.source_size if r.source_size else 0
         assert math.floor(rate) <= r.copies <= math.ceil(rate) <= 3
-    assert mixing.mix(docs).count() == sum(r.copies for r in got)
-    assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+    assert mixing.mix(spark, docs).count() == sum(r.copies for r in got)
+    assert mixing.plan(spark, empty).count() == 0 and mixing.mix(spark, empty).count() == 0
+
+
+def test_mix_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 77, "t", 5, 9, 1.5, 3, "p"), (2, "d", None, 78, "u", 6, 8, 2.5, 4, "q")], "doc_id long, text string, source string, size long, target string, copy int, copies int, rate double, w int, `a.b` string")
+    out = mixing.mix(spark, df.repartition(2)).collect()
+    assert out[0].__fields__ == [*df.columns, "copy_1"]
+    assert {(r.doc_id, r["size"], r.target, r["copy"], r.copies, r.rate) for r in out} <= {(1, 77, "t", 5, 9, 1.5), (2, 78, "u", 6, 8, 2.5)}
+
+
+def test_mix_comes_near_its_targets(spark):
+    """Taken words of each source within five standard deviations of its target, with sizes of every order and a document of half its source."""
+    r = random.Random(14)
+    data = [(i, "w " * min(3_000, int(r.paretovariate(0.9) * 4)), f"s{int(r.paretovariate(0.8)) % 13}") for i in range(3_000)] + [(9_000, "w " * 4_000, "big"), *((9_001 + i, "w " * 400, "big") for i in range(10))]
+    got = mixing.plan(spark, spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)).collect()
+    assert len(got) == len(data)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.source].append(x)
+    for source, xs in by.items():
+        f = xs[0].rate - math.floor(xs[0].rate)
+        spread = math.sqrt(f * (1 - f) * sum(x["size"] ** 2 for x in xs))
+        assert abs(sum(x["size"] * x.copies for x in xs) - xs[0].target) <= 5 * spread + 1e-6, source
+        assert spread <= 0.5 * math.sqrt(max(x["size"] for x in xs) * xs[0].source_size) + 1e-9
+    assert math.isclose(sum(xs[0].target for xs in by.values()), sum(x["size"] for x in got), rel_tol=1e-9)
+    again = mixing.plan(spark, spark.createDataFrame(data[::-1], "doc_id long, text string, source string").repartition(2)).collect()
+    assert {(x.doc_id, x.copies) for x in again} == {(x.doc_id, x.copies) for x in got}
 
 
 def test_html(spark):
