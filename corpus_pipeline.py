@@ -10,7 +10,7 @@ from quarrygraph.llm.common import materialize
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, with the copy's number."""
-    return mixing.mix(docs)
+    return mixing.mix(spark, docs)
 
 
 STAGES = [
