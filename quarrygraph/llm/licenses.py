@@ -2,10 +2,13 @@
 
 A template is text in which `[[...]]` marks words that may be missing and `{name:n}` a place for
 0 to n words of any kind. Everything else is mandatory and must match exactly, word by word. The
-automaton of a template is walked from every place where its first mandatory words stand.
+automaton of a template is walked wherever its first run of mandatory words stands, from each word at which what may come before that run can begin.
 
-Defined cases: a null or empty text has no words and no label; repeated rows are scanned alike;
-null ids and further columns are untouched; an empty table gives an empty result.
+Short licences stand here whole, from the grant to the end of the disclaimer; of those that projects keep in a file of their own
+(Apache, GPL, LGPL, AGPL, MPL) it is the notice that their text gives for source files.
+
+Defined cases: a null or empty text has no words and no label; repeated rows are scanned alike, each on its own; places that several
+templates accept count for each; null ids are kept and further columns ignored; an empty table gives an empty result; a text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -23,43 +26,90 @@ from .textvec import ALNUM
 # The phrases of the base scan and their labels, in the order given.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+_MIT_GRANT = """Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+    Software to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute
+    sublicense and or sell copies of the Software and to permit persons to whom the Software is furnished to do so [[subject to the following conditions]]"""
+_AS_IS = """THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND EXPRESS OR IMPLIED INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY
+    FITNESS FOR A PARTICULAR PURPOSE AND {title:3} NONINFRINGEMENT IN NO EVENT SHALL {holders:12} BE LIABLE FOR ANY CLAIM DAMAGES OR OTHER LIABILITY WHETHER IN
+    [[AN]] ACTION OF CONTRACT TORT OR OTHERWISE ARISING FROM OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""
+_BSD_GRANT = """Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+    {n:2} Redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+    {n:2} Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+    documentation and or other materials provided with the distribution"""
+_BSD_NAMES = """{n:2} Neither the name of {holder:16} nor the names of {holders:6} contributors may be used to endorse or promote products derived from this software without
+    specific prior written permission"""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY {holders:16} AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES INCLUDING BUT NOT LIMITED TO THE IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED IN NO EVENT SHALL {holders:16} BE LIABLE FOR ANY DIRECT INDIRECT INCIDENTAL SPECIAL
+    EXEMPLARY OR CONSEQUENTIAL DAMAGES INCLUDING BUT NOT LIMITED TO PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES LOSS OF USE DATA OR PROFITS OR BUSINESS
+    INTERRUPTION HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY WHETHER IN CONTRACT STRICT LIABILITY OR TORT INCLUDING NEGLIGENCE OR OTHERWISE ARISING IN ANY
+    WAY OUT OF THE USE OF THIS SOFTWARE EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+_ISC_AS_IS = """THE SOFTWARE IS PROVIDED AS IS AND {holders:8} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS IN NO EVENT SHALL {holders:8} BE LIABLE FOR ANY SPECIAL DIRECT INDIRECT OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+    RESULTING FROM LOSS OF USE DATA OR PROFITS WHETHER IN AN ACTION OF CONTRACT NEGLIGENCE OR OTHER TORTIOUS ACTION ARISING OUT OF OR IN CONNECTION WITH THE USE
+    OR PERFORMANCE OF THIS SOFTWARE"""
+_GNU = """This {kind:3} is free software you can redistribute it and or modify it under the terms of the GNU %s General Public License as published by the
+    Free Software Foundation either version {version:3} of the License or at your option any later version"""
+_GNU_NO_WARRANTY = """{what:3} is distributed in the hope that it will be useful but WITHOUT ANY WARRANTY without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+    PARTICULAR PURPOSE See the GNU %s General Public License for more details"""
+
 # Standard wording of licence notices and texts, with their variable parts marked.
 TEMPLATES = {
     "mit": [
-        "released under the [[terms of the]] MIT License",
+        "[[is]] released under the [[terms of the]] MIT License",
         "licensed under the [[terms of the]] MIT License",
-        """Permission is hereby granted free of charge to any person obtaining a copy of this software and associated
-        documentation files the Software to deal in the Software without restriction including without limitation the rights
-        to use copy modify merge publish distribute sublicense and or sell copies of the Software and to permit persons to
-        whom the Software is furnished to do so subject to the following conditions The above copyright notice and this
-        permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the Software""",
+        "SPDX License Identifier MIT",
+        f"{_MIT_GRANT} The above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the Software",
+        f"{_MIT_GRANT} The above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the Software {_AS_IS}",
     ],
     "apache": [
         "licensed under the Apache License [[Version 2 0]]",
+        "SPDX License Identifier Apache 2 0",
         """Licensed under the Apache License Version 2 0 the License you may not use this file except in compliance with the
         License You may obtain a copy of the License at {url:12} Unless required by applicable law or agreed to in writing
         software distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND
-        either express or implied""",
+        either express or implied [[See the License for the specific language governing permissions and limitations under the License]]""",
     ],
     "gpl": [
         "licensed under the [[terms of the]] GNU General Public License [[version 3]]",
-        """This program is free software you can redistribute it and or modify it under the terms of the GNU General Public
-        License as published by the Free Software Foundation either version {version:3} of the License or at your option any later version""",
-    ],
-    "bsd": [
-        """Redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met {list:2} Redistributions of source code must retain the above copyright notice this list of
-        conditions and the following disclaimer {list:2} Redistributions in binary form must reproduce the above copyright notice
-        this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution""",
+        "SPDX License Identifier GPL {version:4}",
+        _GNU % "",
+        f"{_GNU % ''} {_GNU_NO_WARRANTY % ''}",
     ],
+    "lgpl": ["licensed under the [[terms of the]] GNU Lesser General Public License", "SPDX License Identifier LGPL {version:4}", _GNU % "Lesser", f"{_GNU % 'Lesser'} {_GNU_NO_WARRANTY % 'Lesser'}"],
+    "agpl": ["licensed under the [[terms of the]] GNU Affero General Public License", "SPDX License Identifier AGPL {version:4}", _GNU % "Affero", f"{_GNU % 'Affero'} {_GNU_NO_WARRANTY % 'Affero'}"],
+    "bsd": ["SPDX License Identifier BSD {kind:3}", _BSD_GRANT, f"{_BSD_GRANT} {_BSD_AS_IS}", f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_AS_IS}"],
     "isc": [
+        "SPDX License Identifier ISC",
         """Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
         provided that the above copyright notice and this permission notice appear in all copies""",
+        f"""Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies {_ISC_AS_IS}""",
+    ],
+    "0bsd": [f"Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted {_ISC_AS_IS}"],
+    "zlib": [
+        """This software is provided as is without any express or implied warranty In no event will the authors be held liable for any damages arising from the
+        use of this software Permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+        redistribute it freely subject to the following restrictions {n:1} The origin of this software must not be misrepresented you must not claim that you wrote the
+        original software If you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+        {n:1} Altered source versions must be plainly marked as such and must not be misrepresented as being the original software {n:1} This notice may not be removed or
+        altered from any source distribution"""
     ],
-    "cc": ["licensed under a Creative Commons {kind:6} License", "licensed under the Creative Commons {kind:6} License"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License v 2 0"],
+    "unlicense": [
+        """This is free and unencumbered software released into the public domain Anyone is free to copy modify publish use compile sell or distribute this
+        software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
+    ],
+    "boost": [
+        """Permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+        license the Software to use reproduce display distribute execute and transmit the Software and to prepare derivative works of the Software and to permit
+        third parties to whom the Software is furnished to do so all subject to the following"""
+    ],
+    "cc": ["licensed under [[a]] [[the]] Creative Commons {kind:6} License", "SPDX License Identifier CC {kind:6}"],
+    "mpl": ["SPDX License Identifier MPL {version:2}", "This Source Code Form is subject to the terms of the Mozilla Public License v 2 0 [[If a copy of the MPL was not distributed with this file You can obtain one at]] {url:8}"],
 }
 
+#: Words before the run of mandatory words by which a template is found.
+REACH = 40
+
 _MAP = bytes(b if ALNUM[b] else 0x20 for b in range(256))
 
 
@@ -82,17 +132,31 @@ class Automaton:
             self.steps += [(w, 0) for w in words_of(optional or plain)]
             if optional:
                 self.skips[start] = len(self.steps)
-        self.mandatory = sum(w is not None for w, _ in self.steps) - sum(b - a for a, b in self.skips.items())
-        self.first = self._literal()
-
-    def _literal(self) -> bytes:
-        """The mandatory words that every match begins with, as they stand in joined text."""
-        out = []
-        for i, (w, _) in enumerate(self.steps):
-            if w is None or i in self.skips:
-                break
-            out.append(w)
-        return b" ".join(out)
+        free = {i for a, b in self.skips.items() for i in range(a, b)} | {i for i, (w, _) in enumerate(self.steps) if w is None}
+        must = set(range(len(self.steps))) - free
+        if not must:
+            raise ValueError("a template needs mandatory words")
+        self.mandatory = len(must)
+        #: A run of mandatory words, the longest of those with at most REACH words before them, and how many words at most a match has before it.
+        runs, before = [], 0
+        for i, (w, most) in enumerate(self.steps):
+            if i in must and i - 1 in must:
+                runs[-1][1].append(w)
+            elif i in must:
+                runs.append((before, [w]))
+            before += most if w is None else 1
+        near = [x for x in runs if x[0] <= REACH] or runs[:1]
+        self.before, run = max(near, key=lambda x: len(x[1]))
+        self.first = b" ".join(run)
+
+    def places(self, words: list[bytes], joined: bytes) -> Iterator[tuple[int, int]]:
+        """(start, end) of each place where the template stands; of those around one run of mandatory words the first start, and from there the first end."""
+        for at in _places(joined, b" " + self.first + b" "):
+            for start in range(max(0, at - self.before), at + 1):
+                end = self.match(words, start)
+                if end is not None and end > at:
+                    yield start, end
+                    break
 
     def match(self, words: list[bytes], at: int) -> int | None:
         """Where a match that begins at word `at` ends; None without one."""
@@ -155,11 +219,9 @@ def scan(text: str) -> dict:
             labels.add(label)
     accepted = {}
     for label, a in compiled():
-        for start in _places(joined, b" " + a.first + b" "):
-            end = a.match(words, start)
-            if end is not None:
-                accepted[label] = max(accepted.get(label, 0), a.mandatory)
-                spans.append((label, start, end))
+        for start, end in a.places(words, joined):
+            accepted[label] = max(accepted.get(label, 0), a.mandatory)
+            spans.append((label, start, end))
     # A longer mandatory wording is surer; a bare phrase counts half.
     score = max([0.5 * bool(base), *(1 - 0.25 / n for n in accepted.values())])
     return {
@@ -170,7 +232,7 @@ def scan(text: str) -> dict:
         "base_labels": ",".join(sorted(labels)),
         "labels": ",".join(sorted(labels | set(accepted))),
         "score": score,
-        "spans": ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], x[0], x[2]))),
+        "spans": ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(set(spans), key=lambda x: (x[1], x[0], x[2]))),
     }
 
 
