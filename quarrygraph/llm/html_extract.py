@@ -3,13 +3,14 @@
 A page's leaves are its runs of text between block-level tags. Each becomes a vector of its
 hashed tag path (names, classes, ids and roles of its ancestors), its hashed words, and a few
 measures. The network reads the sequence both ways and says main text or not for each leaf.
-It is trained in numpy on generated pages, as no table marks main text.
+It is trained in numpy on generated pages, as no table marks main text. A page of more than WINDOW leaves is
+read in windows: the state passes from one to the next, forth and then back, so that memory for vectors and states doesn't grow with the page.
 
 Scripts, styles, comments, templates and the head never are text. Text in form controls isn't either.
 
 Defined cases: a null or empty html gives an empty text; unclosed tags and stray ends are taken as
-they come; repeated rows are extracted alike; null ids are kept; an empty table gives an empty result; further
-columns are ignored.
+they come, and a quote that no other closes hides the rest of the page, as in a browser; repeated rows are extracted alike; null ids are kept; an empty table gives an empty result; further
+columns are ignored; a page of any length is read whole, in time that grows in proportion.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -29,33 +31,68 @@ from .common import read_table, slices, small_batches
 
 PATH, WORD, MEASURES, HIDDEN = 96, 64, 8, 16
 SIZE = PATH + WORD + MEASURES
-#: Leaves that a task labels together.
-LEAVES = 20_000
+#: Leaves of a window, and about as many are labelled together.
+WINDOW = 4_096
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "option", "button")
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I
+    r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|select|button)\b(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S | re.I
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Leaf:
+    """A run of text; path has a bit for the slot of each name on its tag path, and of `last=` the last name."""
+
     __slots__ = ("path", "text", "linked", "depth")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, depth: int):
+    def __init__(self, path: int, text: str, linked: int, depth: int):
         self.path, self.text, self.linked, self.depth = path, text, linked, depth
 
 
+class _Stack:
+    """Open elements, with the slots that their names take counted, so that a leaf's path costs the same at any depth."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter = Counter()
+        self.slots = [0] * PATH
+        self.mask = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.tags.append((tag, names))
+        self.open[tag] += 1
+        for name in names:
+            slot = _slot(name, PATH)
+            self.slots[slot] += 1
+            self.mask |= 1 << slot
+
+    def pop(self) -> str:
+        tag, names = self.tags.pop()
+        self.open[tag] -= 1
+        for name in names:
+            slot = _slot(name, PATH)
+            self.slots[slot] -= 1
+            if not self.slots[slot]:
+                self.mask ^= 1 << slot
+        return tag
+
+    def top(self) -> str | None:
+        return self.tags[-1][0] if self.tags else None
+
+    def path(self) -> int:
+        return self.mask | 1 << _slot("last=" + self.tags[-1][1][-1], PATH) if self.tags else 0
+
+
 def leaves(page: str) -> list[Leaf]:
     """The page's runs of text, white space as one space, in order."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # (tag, its names for the path)
+    stack = _Stack()
     parts: list[str] = []
     linked, in_link, in_head = 0, 0, False
 
@@ -63,7 +100,7 @@ def leaves(page: str) -> list[Leaf]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Leaf(tuple(x for _, names in stack for x in names), text, linked, len(stack)))
+            out.append(Leaf(stack.path(), text, linked, len(stack.tags)))
         parts.clear()
         linked = 0
 
@@ -96,20 +133,18 @@ def leaves(page: str) -> list[Leaf]:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            while stack.open[tag] and stack.pop() != tag:
+                pass
             continue
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
+        if tag in CLOSES_P and stack.top() == "p":
             stack.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
+        if tag in ("li", "dt", "dd", "tr", "td", "th") and stack.top() == tag:
             stack.pop()
         if tag not in VOID and not m[0].endswith("/>"):
             names = [tag]
             for key, a, b, c in _ATTRIBUTE.findall(m[4]):
                 names += [f"{key[0]}.{x.lower()}" for x in _NAME.findall(a or b or c)]
-            stack.append((tag, tuple(names)))
+            stack.push(tag, tuple(names))
     add(page[at:])
     flush()
     return out
@@ -120,15 +155,13 @@ def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % size
 
 
-def vectors(page: list[Leaf]) -> np.ndarray:
-    """A row for every leaf."""
-    out = np.zeros((len(page), SIZE), np.float32)
-    for k, leaf in enumerate(page):
+def vectors(page: list[Leaf], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row for every leaf of page[start:stop]."""
+    part = page[start:stop]
+    out = np.zeros((len(part), SIZE), np.float32)
+    out[:, :PATH] = np.unpackbits(np.frombuffer(b"".join(x.path.to_bytes(PATH // 8, "little") for x in part), np.uint8), bitorder="little").reshape(len(part), PATH)
+    for k, leaf in enumerate(part):
         row = out[k]
-        for name in leaf.path:
-            row[_slot(name, PATH)] = 1
-        if leaf.path:
-            row[_slot("last=" + leaf.path[-1], PATH)] = 1
         found = leaf.text.lower().split()
         for w in found:
             row[PATH + zlib.crc32(w.strip(".,:;!?()").encode("utf-8", "replace")) % WORD] += 1
@@ -136,7 +169,7 @@ def vectors(page: list[Leaf]) -> np.ndarray:
         n = len(leaf.text)
         row[PATH + WORD :] = (
             min(1.0, np.log1p(len(found)) / 6), min(1.0, leaf.linked / n), sum(leaf.text.count(c) for c in ".,;") / (len(found) + 1), leaf.text[-1] in ".!?\"”»",
-            k / max(1, len(page) - 1), min(1.0, leaf.depth / 12), len(found) < 5, 1.0,
+            (start + k) / max(1, len(page) - 1), min(1.0, leaf.depth / 12), len(found) < 5, 1.0,
         )
     return out
 
@@ -160,11 +193,12 @@ class Labeller:
             setattr(self, "b" + d, bias)
         self.wo, self.bo = rng.normal(0, 0.2, 2 * h).astype(np.float32), np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States over time of x (time, page, SIZE); a page that has ended keeps its state."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """States over time of x (time, page, SIZE); a page that has ended keeps its state. state: what to begin with; has the last one afterwards."""
         w, u, b, h = getattr(self, "w" + d), getattr(self, "u" + d), getattr(self, "b" + d), HIDDEN
         pre = x @ w + b
-        s, c, out = np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32), np.zeros((*x.shape[:2], h), np.float32)
+        out = np.zeros((*x.shape[:2], h), np.float32)
+        s, c = state if state else (np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32))
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             a = pre[t] + s @ u
             i, f, o, g = _sigmoid(a[:, :h]), _sigmoid(a[:, h : 2 * h]), _sigmoid(a[:, 2 * h : 3 * h]), np.tanh(a[:, 3 * h :])
@@ -175,6 +209,19 @@ class Labeller:
                 keep.append((t, s, c, i, f, o, g, tc, m))
             c, s = np.where(m, c2, c), np.where(m, o * tc, s)
             out[t] = s
+        if state is not None:
+            state[:] = s, c
+        return out
+
+    def long_scores(self, page: list[Leaf]) -> np.ndarray:
+        """`scores` of one page, window by window: one number a leaf is kept."""
+        out = np.full(len(page), self.bo[0], np.float32)
+        starts = range(0, len(page), WINDOW)
+        for d, order, wo in (("f", starts, self.wo[:HIDDEN]), ("b", reversed(starts), self.wo[HIDDEN:])):
+            state: list = []
+            for a in order:
+                x = vectors(page, a, a + WINDOW)[:, None, :]
+                out[a : a + WINDOW] += self._run(x, np.ones(x.shape[:2], bool), d, state=state)[:, 0] @ wo
         return out
 
     def scores(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -184,7 +231,7 @@ class Labeller:
         at = 0
         while at < len(order):
             group = order[at : at + 1]
-            while at + len(group) < len(order) and len(pages[order[at + len(group)]]) * (len(group) + 1) <= 4_096:
+            while at + len(group) < len(order) and len(pages[order[at + len(group)]]) * (len(group) + 1) <= WINDOW:
                 group.append(order[at + len(group)])
             at += len(group)
             x, mask = _pad([pages[k] for k in group])
@@ -340,7 +387,8 @@ def model() -> Labeller:
 def extract(pages: list[str | None], labeller: Labeller) -> list[str]:
     """The main text of every page."""
     found = [leaves(p or "") for p in pages]
-    scores = labeller.scores([vectors(f) for f in found])
+    scores = labeller.scores([vectors(f) if len(f) <= WINDOW else np.zeros((0, SIZE), np.float32) for f in found])
+    scores = [labeller.long_scores(f) if len(f) > WINDOW else s for f, s in zip(found, scores, strict=True)]
     return ["\n".join(leaf.text for leaf, z in zip(f, s, strict=True) if z > 0) for f, s in zip(found, scores, strict=True)]
 
 
