@@ -48,7 +48,10 @@ def _papers(spark: SparkSession, root: str, kind: str) -> tuple[DataFrame, DataF
     lines = lines.withColumn("line", papers.without_comment(F.col("line"))) if kind == "tex" else papers.without_fences(lines)
     heads = papers.sections(lines, kind)
     placed = papers.with_section(lines, heads)
-    links = papers.links(lines, kind).join(placed.select("path", "line_no", "section"), ["path", "line_no"])
+    where = ["path", "line_no", "section"]
+    if kind == "tex":
+        placed, where = papers.graphics_path(placed), [*where, "graphics"]
+    links = papers.links(lines, kind).join(placed.select(*where), ["path", "line_no"])
     return heads, placed, links
 
 
@@ -83,7 +86,7 @@ def gather(spark: SparkSession, root: str, log: str | None = None, blame: str |
         cited = links.filter("link = 'cites'")
         refs = bibliography.references(entries, cited) if kind == "tex" else spark.createDataFrame([], "id string, title string")
         facts.add(*dataflow.paper_graph(heads, dataflow.figures(links.filter("link = 'includes'"), images), cited, refs, extractor))
-        found.append(papers.claims(placed))
+        found.append(papers.claims(papers.prose(placed.select("path", "line_no", "line", "section"), kind)))
     python = scripts.uses(files.texts(spark, root, PYTHON))
     calls = python.union(r_scripts.uses(files.texts(spark, root, R))).union(r_scripts.uses(files.texts(spark, root, RMD)))
     facts.add(*dataflow.script_graph(dataflow.resolve(calls, known, root)))

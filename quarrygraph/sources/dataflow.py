@@ -9,7 +9,7 @@ from ..functions.text import category, content_id, normal_path, suffix
 from ..operators.joins import ranked_candidate_join
 
 # The order in which a figure's file is looked for when its name has no extension.
-FIGURE_ORDER = ["pdf", "png", "jpg", "jpeg", "svg", "eps", "gif", "tiff", "tif"]
+FIGURE_ORDER = ["pdf", "png", "jpg", "jpeg", "eps", "gif", "svg", "tif", "tiff"]
 NODE_COLUMNS = ["id", "type", "title"]
 EDGE_COLUMNS = ["src", "dst", "type", "extractor", "status", "confidence", "occurrences"]
 
@@ -70,12 +70,19 @@ def figure_graph(calls: DataFrame, images: DataFrame, blamed: DataFrame, commits
 
 
 def figures(links: DataFrame, images: DataFrame) -> DataFrame:
-    """`includes` links (path, section, line_no, target) with the image (path) that each shows, from the paper's folder; a name without a known
-    extension takes the first of FIGURE_ORDER that is there. Links to no known image are dropped, as no figure stands behind them."""
-    asked = links.withColumn("_row", content_id("path", "target"))
+    """`includes` links (path, section, line_no, target, and `graphics`, a folder below the paper's, if the format has that) with the image (path) that each shows, from
+    the paper's folder; a name with an image's extension must be there as it is, another takes the first of FIGURE_ORDER that is. Links to no
+    known image, outside any section, with a macro in their name, or to other hosts are dropped, as no figure stands behind them."""
+    if "graphics" not in links.columns:
+        links = links.withColumn("graphics", F.lit(None).cast("string"))
+    bare = F.trim(F.regexp_replace("target", r"^<(.*)>$", "$1"))
+    links = links.withColumn("target", bare).filter(F.col("section").isNotNull() & ~F.contains("target", F.lit("\\")) & ~F.col("target").rlike("^(https?:)?//"))
+    asked = links.withColumn("_row", content_id("path", F.coalesce("graphics", F.lit("")), "target"))
+    below = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat_ws("/", F.nullif(F.regexp_replace("graphics", "^/+|/+$", ""), F.lit("")), "target"))
+    rows = asked.select("_row", "path", below.alias("target")).dropDuplicates(["_row"])
     name = beside(F.col("path"), F.col("target"))
-    tried = [F.when(suffix(name).isin(FIGURE_ORDER), name), *(F.concat(name, F.lit(f".{x}")) for x in FIGURE_ORDER)]
-    rows = asked.select("_row", "path", F.col("target").alias("_t")).dropDuplicates(["_row"]).withColumn("target", F.col("_t"))
+    known = suffix(name).isin(FIGURE_ORDER)
+    tried = [F.when(known, name), *(F.when(~known, F.concat(name, F.lit(f".{x}"))) for x in FIGURE_ORDER)]
     places = rows.select("_row", F.array(*tried).alias("_c"))
     found = ranked_candidate_join(places, [F.get("_c", F.lit(k)) for k in range(len(tried))], images.select(F.col("path").alias("_file")), "_file", "_row")
     return asked.join(found.select("_row", F.col("target").alias("file")).filter("file is not null"), "_row").drop("_row")

@@ -44,7 +44,7 @@ def test_tex(spark):
 def test_markdown_fences_and_claims(spark):
     text = "# Head #\n```py\n~~~\n0.5\n```\nWe reach 92.1% and 0.873. Then 2.5-fold, v1.2.3 and $0.75$.\n~~~\n# no\n"
     lines = papers.without_fences(as_lines(spark, text))
-    assert [r.line_no for r in lines.orderBy("line_no").collect()] == [1, 6]
+    assert [r.line_no for r in lines.filter("line <> ''").orderBy("line_no").collect()] == [1, 6]
     got = papers.claims(papers.with_section(lines, papers.sections(lines, "md"))).orderBy("line_no", "sentence", "seq").collect()
     assert sorted((r.raw, float(r.value), r.places, r.unit_form, r.seq) for r in got) == [("$0.75$", 0.75, 2, "fraction", 1), ("0.873", 0.873, 3, "fraction", 2), ("92.1%", 0.921, 3, "percent", 1)]
     assert len({r.id for r in got}) == 3 and all(r.id.startswith("claim:p#") for r in got)
