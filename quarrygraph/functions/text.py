@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def exact_decimal(value: Column) -> Column:
     return value.cast("string").try_cast("decimal(38,18)")
 
 
-def half_up(value: Column, places: Column, known: range = range(9)) -> Column:
+def half_up(value: Column, places: Column, known: Iterable[int] = range(19)) -> Column:
     """A decimal rounded half up at each row's number of places, of those known; the scale of round() must be constant."""
     out = None
     for p in known:

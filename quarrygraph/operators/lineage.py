@@ -34,7 +34,18 @@ def broken(uses: DataFrame) -> DataFrame:
 
 
 def duplicates(read: DataFrame, files: DataFrame) -> DataFrame:
-    """For each read path the other paths that have its base name."""
-    index = files.select(F.col("path").alias("other"), basename(F.col("path")).alias("_b")).distinct()
-    pairs = read.select("path", basename(F.col("path")).alias("_b")).distinct().join(index, "_b").filter("path <> other")
-    return pairs.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("other")), ",").alias("others"))
+    """(base, path, n): each read path whose base name other files have too, with the number of all files of that name, and a row for each
+    of those; a group is its members, never its pairs."""
+    index = files.select("path", basename(F.col("path")).alias("base")).distinct()
+    asked = read.select("path", basename(F.col("path")).alias("base")).distinct()
+    shared = index.unionByName(asked).distinct().groupBy("base").agg(F.count("*").alias("n")).filter("n > 1")
+    members = index.join(shared, "base").join(asked.select("base").distinct(), "base", "left_semi")
+    is_read = asked.select("base", "path", F.lit(True).alias("_read"))
+    return members.unionByName(asked.join(shared, "base").select(members.columns)).distinct().join(is_read, ["base", "path"], "left").select("base", "path", "n", F.coalesce("_read", F.lit(False)).alias("is_read"))
+
+
+def named(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """targets with the title and type of their nodes; of a target that is no node, what its id tells."""
+    known = nodes.select(F.col("id").alias("target"), F.col("title").alias("_title"), F.col("type").alias("_type"))
+    out = targets.join(known, "target", "left")
+    return out.select(*targets.columns, F.coalesce("_title", F.expr("substring(target, instr(target, ':') + 1)")).alias("title"), F.coalesce("_type", F.expr("substring_index(target, ':', 1)")).alias("node_type"))

@@ -59,3 +59,35 @@ def delete_touching(edges: DataFrame, doomed: DataFrame, extractor: str | None =
     gone = edges.filter(mine)
     kept = gone.join(ids, F.col("src") == F.col("id"), "left_anti").join(ids, F.col("dst") == F.col("id"), "left_anti")
     return kept.unionByName(edges.filter(~mine)) if extractor is not None else kept
+
+
+def set_human_fields(nodes: DataFrame, said: DataFrame) -> DataFrame:
+    """nodes with the human_fields that people gave (id, fields: JSON text) in place of their own; ids that are no node change nothing."""
+    return nodes.join(said.select("id", F.col("fields").alias("_fields")), "id", "left").withColumn("human_fields", F.coalesce("_fields", "human_fields")).drop("_fields").select(*nodes.columns)
+
+
+def delete_nodes(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> DataFrame:
+    """nodes without the doomed (id). Raises ValueError if an edge touches one, as its end would be gone."""
+    ids = doomed.select("id").distinct()
+    touching = edges.join(ids, F.col("src") == F.col("id"), "left_semi").unionByName(edges.join(ids, F.col("dst") == F.col("id"), "left_semi"))
+    if not touching.isEmpty():
+        raise ValueError("edges touch the nodes to be deleted")
+    return nodes.join(ids, "id", "left_anti")
+
+
+def judged_nodes(edges: DataFrame) -> DataFrame:
+    """Ids of the nodes with an edge, of any extractor and in either direction, that a person judged."""
+    judged = edges.filter(F.col("status").isin(list(JUDGED)))
+    return judged.select(F.col("src").alias("id")).union(judged.select("dst")).distinct()
+
+
+def remove_missing(nodes: DataFrame, edges: DataFrame, prefix: str, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts) without the nodes whose id begins with prefix and that were not found (id) again, and without all their edges;
+    those with a judged edge stay. counts: one row of removed, edges_removed and preserved."""
+    gone = nodes.filter(F.col("id").startswith(prefix)).join(found.select("id"), "id", "left_anti").select("id")
+    judged = judged_nodes(edges)
+    removed, kept = gone.join(judged, "id", "left_anti"), gone.join(judged, "id", "left_semi")
+    left = delete_touching(edges, removed)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = one(removed, "removed").crossJoin(one(edges, "_all")).crossJoin(one(left, "_left")).crossJoin(one(kept, "preserved")).select("removed", (F.col("_all") - F.col("_left")).alias("edges_removed"), "preserved")
+    return nodes.join(removed, "id", "left_anti"), left, counts

@@ -16,7 +16,7 @@ from ..sources import bibliography, dataflow, files, history, papers, r_scripts,
 # Names of the files of each kind, and the folder of the tracker.
 TEX, MARKDOWN, BIB, PYTHON, R, RMD = "*.[tT][eE][xX]", "*.[mM][dD]", "*.[bB][iI][bB]", "*.[pP][yY]", "*.[rR]", "*.[rR][mM][dD]"
 TRACKER = "mlruns"
-NODES = "id string, type string, title string"
+NODES = store.NODES
 EDGES = "src string, dst string, type string, extractor string, status string, confidence double, occurrences array<string>"
 
 
@@ -28,7 +28,7 @@ class Facts:
 
     def add(self, nodes: DataFrame, edges: DataFrame | None = None) -> None:
         seq = F.lit(len(self.nodes)).alias("seq")
-        self.nodes.append(cut(nodes.select("id", "type", "title", seq)))
+        self.nodes.append(cut(store.migrated(nodes).select("id", "type", "title", "attrs", "human_fields", seq)))
         if edges is not None:
             self.edges.append(cut(edges.select(*dataflow.EDGE_COLUMNS, seq)))
 
@@ -57,7 +57,8 @@ def _papers(spark: SparkSession, root: str, kind: str) -> tuple[DataFrame, DataF
 
 def _claims(found: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of claims and pending edges to every experiment with a metric that agrees at the printed precision."""
-    nodes = found.select("id", F.lit("claim").alias("type"), F.col("sentence").alias("title"))
+    attrs = F.to_json(F.struct("sentence", F.col("value").cast("double").alias("value"), "raw", F.col("number").alias("printed_number"), "unit_form", F.col("places").alias("precision_decimals"), "section", F.col("path").alias("tex_path"), F.col("line_no").alias("line")))
+    nodes = found.select("id", F.lit("claim").alias("type"), F.col("sentence").alias("title"), attrs.alias("attrs"))
     matched = rounded_equi_join(found.select(F.col("id").alias("claim_id"), "value", "places", "path", "raw"), metrics)
     where = F.to_json(F.struct(F.col("path").alias("file"), F.col("name").alias("metric"), F.col("metric").alias("metric_value"), F.col("raw").alias("claim_raw"), F.col("value").cast("double").alias("claim_value"), "candidate_count"))
     edges = matched.groupBy(F.col("claim_id").alias("src"), F.col("metric_id").alias("dst")).agg(F.sort_array(F.collect_list(where)).alias("occurrences"))
@@ -120,6 +121,6 @@ def ingest(spark: SparkSession, root: str, target: str, log: str | None = None,
         judged = edges.filter((F.col("extractor") == "claims") & F.col("status").isin(list(snapshots.JUDGED))).select(F.col("src").alias("id"))
         gone = cut(snapshots.orphans(claims, "path", scanned, new_nodes, judged, "id").select("id"))
         kept = snapshots.delete_touching(edges, gone, "claims").select(*EDGE_KEY, "confidence", "status", "occurrences")
-        return snapshots.upsert(nodes.join(gone, "id", "left_anti"), new_nodes, ["id"], "seq"), snapshots.upsert_edges(kept, new_edges)
+        return snapshots.upsert(nodes.join(gone, "id", "left_anti"), new_nodes, ["id"], "seq", kept=("human_fields",)), snapshots.upsert_edges(kept, new_edges)
 
     return store.update(spark, target, change)

@@ -31,6 +31,6 @@ def report(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> dict[str, Da
         "scanned": counts,
         "orphans": lineage.orphans(found).orderBy("target"),
         "chains": lineage.chains(found).orderBy("target"),
-        "broken_links": found.filter("missing").select("script", "line", "callee", "kind", "target").orderBy("script", "line"),
-        "duplicates": lineage.duplicates(read, files).orderBy("path"),
+        "broken_links": found.filter("missing").select("script", "line", "callee", "kind", "target").orderBy("script", "line", F.when(F.col("kind") == "reads", 0).otherwise(1), "target", "callee"),
+        "duplicates": lineage.duplicates(read, files).orderBy("base", "path"),
     }

@@ -75,3 +75,31 @@ def check_steps(attempts: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("file", F.regexp_extract(F.regexp_extract("file", "([^/]*)$", 1), "^(\\d+)-", 1).alias("_s")).filter("_s <> ''")
     known = known.select("file", F.col("_s").try_cast("int").alias("step")).groupBy("step").agg(F.sort_array(F.collect_set("file")).alias("files"))
     return attempts.select("id", F.explode("step_refs").alias("step")).join(known, "step", "left").select("id", "step", "files", F.col("files").isNull().alias("broken"))
+
+
+def attempt_nodes(rows: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Nodes (id, type, title, attrs, human_fields) of a table's rows (see `table`, with number, date, description, variables, result, verdict): of equal
+    numbers the first. With steps (file) also the files of the steps that a description refers to, and the steps without one."""
+    first = first_of_number(rows).withColumn("step_refs", steps_of("description"))
+    if steps is not None:
+        linked = check_steps(first.select("id", "step_refs"), steps)
+        linked = linked.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("files", F.array().cast("array<string>")))))).alias("step_files"), F.sort_array(F.collect_set(F.when(F.col("broken"), F.col("step")))).alias("step_files_broken"))
+        first = first.join(linked, "id", "left")
+        first = first.withColumns({c: F.coalesce(c, F.array().cast(f"array<{k}>")) for c, k in (("step_files", "string"), ("step_files_broken", "int"))})
+    kept = ["number", "date", "description", "variables", F.col("path").alias("source_file"), F.col("line_no").alias("source_line"), "step_refs", *(["step_files", "step_files_broken"] if steps is not None else [])]
+    return first.select("id", F.lit("attempt").alias("type"), F.col("description").alias("title"), F.to_json(F.struct(*kept)).alias("attrs"), F.to_json(F.struct("verdict", "result")).alias("human_fields"))
+
+
+def steps_of(column: str) -> Column:
+    return steps(F.col(column))
+
+
+# What an attempt's attrs and human fields hold.
+ATTRS = "number string, date string, description string, variables string, source_file string, source_line int, step_refs array<int>, step_files array<string>, step_files_broken array<int>"
+HUMAN = "verdict string, result string"
+
+
+def stored(nodes: DataFrame) -> DataFrame:
+    """The attempts of a store's nodes, with their attrs and human fields as columns."""
+    held = nodes.filter("type = 'attempt'").select("id", F.from_json("attrs", ATTRS).alias("a"), F.from_json("human_fields", HUMAN).alias("h"))
+    return held.select("id", "a.*", "h.*")

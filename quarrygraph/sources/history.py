@@ -45,6 +45,8 @@ def commit_graph(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     sha = F.concat(F.lit("commit:"), F.col("sha"))
     named = log.filter(email != "")
     people = named.groupBy(who.alias("id")).agg(F.max_by(F.when(F.col("author_name") != "", F.col("author_name")).otherwise(email), "ordinal").alias("title"))
-    nodes = log.select(sha.alias("id"), F.lit("commit").alias("type"), F.split("message", "\n")[0].alias("title")).unionByName(people.select("id", F.lit("contributor").alias("type"), "title"))
+    attrs = F.to_json(F.struct("message", "authored_at", "author_name", "author_email", "files"))
+    nodes = log.select(sha.alias("id"), F.lit("commit").alias("type"), F.split("message", "\n")[0].alias("title"), attrs.alias("attrs"))
+    nodes = nodes.unionByName(people.select("id", F.lit("contributor").alias("type"), "title", F.to_json(F.struct(F.col("title").alias("name"), F.expr("substring(id, 13)").alias("email"))).alias("attrs")))
     edges = named.select(sha.alias("src"), who.alias("dst"), F.lit("authored_by").alias("type"), F.lit("git").alias("extractor"), F.lit("auto").alias("status"))
     return nodes, edges

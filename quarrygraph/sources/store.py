@@ -7,10 +7,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.graph import EDGE_TYPES, NODE_TYPES, STATUSES, dangling
 
 ATTEMPTS = 5
+#: The nodes' columns; attrs are a reader's, human_fields a person's, both JSON texts.
+NODES = "id string, type string, title string, attrs string, human_fields string"
 
 
 class Conflict(RuntimeError):
@@ -41,7 +44,16 @@ def read(spark: SparkSession, root: str, name: str, at: int | None = None) -> Da
     if not at:
         return None
     folder = spark.read.text(f"{root}/log/{at}").first().value
-    return spark.read.parquet(f"{root}/data/{folder}/{name}")
+    found = spark.read.parquet(f"{root}/data/{folder}/{name}")
+    return migrated(found) if name == "nodes" else found
+
+
+def migrated(nodes: DataFrame) -> DataFrame:
+    """Nodes with the columns that an earlier version lacked; a snapshot is brought up to date when it is read, and so in the next one that is written."""
+    for column in ("attrs", "human_fields"):
+        if column not in nodes.columns:
+            nodes = nodes.withColumn(column, F.lit("{}"))
+    return nodes
 
 
 def problems(nodes: DataFrame, edges: DataFrame) -> list[str]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import basename, split_lines, strip
 from ..operators.joins import unique_key_join
@@ -13,6 +17,7 @@ RESERVED_TOP, RESERVED_BELOW = ["models", ".trash"], ["tags"]
 KEPT_TAGS = [
     "mlflow.runName", "mlflow.user", "mlflow.source.name", "mlflow.source.type", "mlflow.source.git.commit", "mlflow.source.git.branch", "mlflow.source.git.repoURL", "mlflow.parentRunId", "mlflow.note.content",
 ]
+META = ["experiment_id", "status", "start_time", "end_time", "artifact_uri"]
 FLOAT = "^[+-]?(\\d+\\.?\\d*([eE][+-]?\\d+)?|\\.\\d+([eE][+-]?\\d+)?|inf|nan)$"
 
 
@@ -54,7 +59,8 @@ def run_graph(found: DataFrame, artifacts: DataFrame, figures: DataFrame, commit
     run = F.concat(F.lit("experiment:"), "run_id")
     title = F.coalesce(one("tags", "mlflow.runName"), one("meta", "run_name"), F.col("run_id"))
     per_run = found.groupBy("run_id").agg(title.alias("title"), one("tags", "mlflow.source.git.commit").alias("sha"))
-    nodes = per_run.select(run.alias("id"), F.lit("experiment").alias("type"), "title")
+    held = F.to_json(F.struct("run_id", *(F.element_at("meta", F.lit(k)).alias(k) for k in META), "params", "metrics", "tags"))
+    nodes = per_run.join(runs(found).select("run_id", held.alias("attrs")), "run_id").select(run.alias("id"), F.lit("experiment").alias("type"), "title", "attrs")
     edge = lambda src, dst, kind, where: [src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit("mlflow").alias("extractor"), F.lit("auto").alias("status"), F.lit(1.0).alias("confidence"), where.alias("occurrences")]
     tagged = per_run.withColumn("id", F.concat(F.lit("commit:"), "sha")).join(commits.select("id").distinct(), "id", "left_semi")
     made = tagged.select(*edge(F.col("id"), run, "implements", F.array(F.to_json(F.struct("run_id", "sha")))))
@@ -63,9 +69,74 @@ def run_graph(found: DataFrame, artifacts: DataFrame, figures: DataFrame, commit
     return nodes, made.unionByName(shown.select(*edge(run, F.col("id"), "produces", F.col("o"))))
 
 
+# The shape of a saved page, the most characters of a text in a blob and the mark of a cut, and the key of media references.
+PAGE = "data struct<project:struct<runs:struct<edges:array<struct<node:struct<name:string,displayName:string,state:string,config:string,summaryMetrics:string,commit:string,tags:array<string>,notes:string,createdAt:string,files:struct<edges:array<struct<node:struct<name:string>>>>>>>,pageInfo:struct<hasNextPage:boolean,endCursor:string>>>>"
+TEXT_MOST, TEXT_CUT, MEDIA = 4_000, "...<truncated>", "_type"
+#: What a page's files have: names that end like an image.
+IMAGE = "(?i)\\.(png|jpe?g|pdf|svg|eps|gif|tiff?)$"
+
+
+class PageError(ValueError):
+    """A saved page has not the shape of an answer."""
+
+
+def _stripped(x: object) -> object:
+    if isinstance(x, dict):
+        return {MEDIA: x[MEDIA], "_stripped": True} if MEDIA in x else {k: _stripped(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_stripped(v) for v in x]
+    return x[:TEXT_MOST] + TEXT_CUT if isinstance(x, str) and len(x) > TEXT_MOST else x
+
+
+@F.pandas_udf(T.StringType())
+def blob(raw: pd.Series) -> pd.Series:
+    """A blob's JSON object without media and with long texts cut; {} for anything that is no object."""
+
+    def one(text: str | None) -> str:
+        try:
+            found = json.loads(text) if text is not None else {}
+        except ValueError:
+            found = {}
+        return json.dumps(_stripped(found) if isinstance(found, dict) else {}, ensure_ascii=False)
+
+    return raw.map(one, na_action=None)
+
+
+def numbers(df: DataFrame, keep: list[str], blobs: dict[str, Column]) -> DataFrame:
+    """keep, source, name and value (double) of every top-level number in some JSON objects, by their names; texts, booleans and NaN's spellings are no numbers."""
+    parts = None
+    for source, text in blobs.items():
+        found = F.explode(F.try_parse_json(text).cast("map<string,variant>")).alias("name", "_v")
+        rows = df.filter(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")).select(*keep, F.lit(source).alias("source"), found)
+        rows = rows.filter(F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")).select(*keep, "source", "name", F.expr("try_variant_get(_v, '$', 'double')").alias("value"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
 def saved_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, state, config, summary) of a web tracker's answers, saved one page a file as JSON. config and summary stay JSON texts."""
-    page = "data struct<project:struct<runs:struct<edges:array<struct<node:struct<name:string,state:string,config:string,summaryMetrics:string>>>>>>"
-    read = spark.read.schema(page).option("multiLine", True).json(path)
-    node = read.select(F.explode("data.project.runs.edges.node").alias("n"))
-    return node.filter("coalesce(n.name, '') <> ''").select(F.col("n.name").alias("run_id"), "n.state", "n.config", F.col("n.summaryMetrics").alias("summary"))
+    """The runs of a web tracker's answers, saved one page a file as JSON: run_id, title, state, config and summary (JSON texts, see `blob`), sha, tags, notes, created_at and files. Runs
+    without a name are left out; a page without the shape of an answer raises PageError."""
+    read = spark.read.schema(PAGE).option("multiLine", True).json(path)
+    if not read.filter("data.project.runs.edges is null").isEmpty():
+        raise PageError(path)
+    n = read.select(F.explode("data.project.runs.edges.node").alias("n")).select("n.*").filter("coalesce(name, '') <> ''")
+    files = F.filter(F.transform("files.edges", lambda e: e["node"]["name"]), lambda f: f.isNotNull() & (f != ""))
+    return n.select(F.col("name").alias("run_id"), F.coalesce(F.nullif("displayName", F.lit("")), "name").alias("title"), "state", blob("config").alias("config"), blob("summaryMetrics").alias("summary"), F.nullif(strip(F.col("commit")), F.lit("")).alias("sha"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "notes", F.col("createdAt").alias("created_at"), F.coalesce(files, F.array().cast("array<string>")).alias("files"))
+
+
+def page_graph(runs: DataFrame, figures: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (with attrs) and edges of `saved_pages`, and what was skipped (reason, n): `implements` from the commit that a run names, if commits (id) has it, and `produces` to the figure that alone among
+    figures (id) has the base name of an image of the run."""
+    run = F.concat(F.lit("experiment:"), "run_id")
+    attrs = F.to_json(F.struct("run_id", "state", "tags", "notes", "created_at", F.from_json("config", "map<string,string>").alias("config"), F.from_json("summary", "map<string,string>").alias("summary_metrics")))
+    nodes = runs.select(run.alias("id"), F.lit("experiment").alias("type"), "title", attrs.alias("attrs"))
+    edge = lambda src, dst, kind, where: [src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit("wandb").alias("extractor"), F.lit("auto").alias("status"), F.lit(1.0).alias("confidence"), where.alias("occurrences")]
+    named = runs.filter("sha is not null").withColumn("id", F.concat(F.lit("commit:"), "sha")).join(commits.select("id", F.lit(True).alias("_known")).distinct(), "id", "left")
+    made = named.filter("_known").select(*edge(F.col("id"), run, "implements", F.array(F.to_json(F.struct("run_id", "sha")))))
+    images = runs.select("run_id", F.explode("files").alias("file_name")).filter(F.col("file_name").rlike(IMAGE)).withColumn("_name", basename(F.col("file_name")))
+    known = figures.select("id", basename(F.regexp_replace("id", "^figure:", "")).alias("_name")).distinct()
+    shown = unique_key_join(images, known, "_name").groupBy("run_id", "id").agg(F.sort_array(F.collect_list(F.to_json(F.struct("run_id", "file_name")))).alias("o"))
+    n = lambda df, why: df.agg(F.lit(why).alias("reason"), F.count("*").alias("n"))
+    single = known.groupBy("_name").agg(F.count("*").alias("_n")).filter("_n = 1")
+    skipped = n(named.filter("_known is null"), "unknown commit").unionByName(n(images.join(single, "_name", "left_anti"), "no single figure")).unionByName(n(runs.filter("sha is null"), "no commit"))
+    return nodes, made.unionByName(shown.select(*edge(run, F.col("id"), "produces", F.col("o")))), skipped

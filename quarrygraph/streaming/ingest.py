@@ -21,9 +21,9 @@ def follow_nodes(spark: SparkSession, landing: str, root: str, checkpoint: str)
         facts = batch.filter("id is not null")
 
         def change(nodes: DataFrame | None, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-            nodes = session.createDataFrame([], "id string, type string, title string") if nodes is None else nodes
+            nodes = session.createDataFrame([], store.NODES) if nodes is None else nodes
             edges = session.createDataFrame([], "src string, dst string, type string, extractor string, status string") if edges is None else edges
-            return upsert(nodes, facts, ["id"], "seq"), edges
+            return upsert(nodes, store.migrated(facts), ["id"], "seq", kept=("human_fields",)), edges
 
         store.update(session, root, change)
 

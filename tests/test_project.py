@@ -132,7 +132,8 @@ def test_project_ingest_and_command_line(spark, tmp_path, capsys):
     shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert run("lineage", str(root)) == 1
     blocks = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert [(b["block"], b.get("target") or b.get("path")) for b in blocks] == [("scanned", None), ("orphans", "dataset:d.csv"), ("orphans", "dataset:lost.csv"), ("broken_links", "dataset:lost.csv"), ("broken_links", "figure:gone.png"), ("duplicates", "d.csv")]
+    assert [(b["block"], b.get("target") or b.get("path")) for b in blocks] == [("scanned", None), ("orphans", "dataset:d.csv"), ("orphans", "dataset:lost.csv"), ("broken_links", "dataset:lost.csv"), ("broken_links", "figure:gone.png"), *[("duplicates", p) for p in sorted({b["path"] for b in blocks if b["block"] == "duplicates"})]]
+    assert {b["path"] for b in blocks if b["block"] == "duplicates" and b["is_read"]} == {"d.csv"} and sum(b["block"] == "duplicates" for b in blocks) == 2
     assert (blocks[0]["scripts"], blocks[0]["targets"], blocks[0]["reads_edges"], blocks[0]["writes_edges"]) == (2, 4, 2, 3)
     assert shown[0]["type"] == "claim" and shown[1]["direction"] == "out" and all(x["depth"] == 1 for x in shown[2:5])
 
