@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, text
 from ..operators import graph, joins, lineage, sequences, snapshots
+from ..sources import bibliography, history, trackers
 from .standin import EDGES, NODES, USES, edges, nodes, table, uses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,8 +88,9 @@ def dangling_edges(spark, sf_dir):
 @query(f"WITH {EDGES} SELECT src, dst, type, extractor, status FROM edges WHERE NOT (type = 'uses' AND dst LIKE 'supplier:1%')")
 def delete_touching(spark, sf_dir):
     doomed = nodes(spark, sf_dir).filter(F.col("id").like("supplier:1%")).select("id")
-    e = edges(spark, sf_dir)
-    return snapshots.delete_touching(e.filter("type = 'uses'"), doomed, "tables").unionByName(e.filter("type <> 'uses'"))
+    by_hand = F.when(F.col("type") == "uses", F.col("extractor")).otherwise("hand")
+    left = snapshots.delete_touching(edges(spark, sf_dir).withColumn("extractor", by_hand), doomed, "tables")
+    return left.withColumn("extractor", F.lit("tables"))
 
 
 _BY_TARGET = f"""WITH {USES}, t AS (SELECT target, max(is_data) AS is_data, count(*) FILTER (kind = 'reads') AS n_reads, count(*) FILTER (kind = 'writes') AS n_writes,
@@ -115,8 +117,8 @@ def lineage_broken(spark, sf_dir):
     return lineage.broken(uses(spark, sf_dir))
 
 
-@query(r"""WITH f AS (SELECT DISTINCT url AS path, regexp_extract(url, '([^/]*)$', 1) AS b FROM pages), p AS (SELECT a.path, o.path AS other FROM f a JOIN f o USING (b) WHERE a.path <> o.path)
-SELECT path, count(*) AS n, string_agg(other, ',' ORDER BY other) AS others FROM p GROUP BY path""")
+@query(r"""WITH f AS (SELECT DISTINCT url AS path, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages), g AS (SELECT base, count(*) AS n FROM f GROUP BY base HAVING count(*) > 1)
+SELECT base, path, n, true AS is_read FROM f JOIN g USING (base)""")
 def lineage_duplicates(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
     return lineage.duplicates(files, files)
@@ -174,24 +176,17 @@ def normal_key_join(spark, sf_dir):
 @query(f"WITH {_CITES} SELECT DISTINCT 'ref:' || lower(trim(cite)) AS id FROM cites WHERE lower(trim(cite)) NOT IN (SELECT k FROM bib)")
 def unresolved_placeholders(spark, sf_dir):
     cites, bib = _cites(spark, sf_dir)
-    keys = cites.select(text.normal_key(F.col("cite")).alias("k")).distinct()
-    return keys.join(bib.select(text.normal_key(F.col("bibkey")).alias("k")), "k", "left_anti").select(F.concat(F.lit("ref:"), "k").alias("id"))
+    entries = bib.select("seq", F.col("bibkey").alias("key"), *(F.lit("x").alias(c) for c in ("path", "title", "entry_type", "author", "year")))
+    return bibliography.references(entries, cites.select(F.col("cite").alias("target"))).filter("unresolved").select("id")
 
 
 @query("WITH k AS (SELECT c_mktsegment AS k FROM customer UNION ALL SELECT lower(c_mktsegment) FROM customer WHERE c_mktsegment LIKE 'A%') SELECT lower(k) AS key, count(DISTINCT k) AS spellings FROM k GROUP BY 1 HAVING count(DISTINCT k) > 1")
 def key_collisions(spark, sf_dir):
     seg = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("k"))
     keys = seg.union(seg.filter("k LIKE 'A%'").select(F.lower("k")))
-    return keys.groupBy(text.normal_key(F.col("k")).alias("key")).agg(F.countDistinct("k").alias("spellings")).filter("spellings > 1")
-
-
-@query("""WITH l AS (SELECT l_orderkey, arg_max(struct_pack(d := CAST(l_shipdate AS DATE), n := l_linenumber), struct_pack(d := l_shipdate, n := l_linenumber)) AS x FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS verdict, CAST(x.d AS VARCHAR) AS changed, x.n AS line FROM orders JOIN l ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) < x.d""")
-def stale_verdicts(spark, sf_dir):
-    last = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct("l_shipdate", "l_linenumber")).alias("x"))
-    out = table(spark, sf_dir, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
-    out = out.filter(F.to_date("o_orderdate") < F.to_date("x.l_shipdate"))
-    return out.select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("verdict"), F.to_date("x.l_shipdate").cast("string").alias("changed"), F.col("x.l_linenumber").alias("line"))
+    entries = keys.distinct().select(F.col("k").alias("key"), F.lit(0).alias("seq"), *(F.lit("x").alias(c) for c in ("path", "title", "entry_type", "author", "year")))
+    found = bibliography.references(entries, entries.select(F.col("key").alias("target"))).filter("spellings > 1")
+    return found.select(F.expr("substring(id, 5)").alias("key"), "spellings")
 
 
 @query("""WITH k AS (SELECT DISTINCT p_brand AS g, p_partkey AS x FROM part WHERE p_partkey % 7 <> 0), m AS (SELECT DISTINCT p_brand AS g, p_partkey AS missing FROM part WHERE p_partkey % 7 = 0)
@@ -212,7 +207,8 @@ def revived_terms(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def last_touch(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    log = table(spark, sf_dir, "events").select(F.array("user_id").alias("files"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("sha"), F.col("event_id").alias("authored_at"))
+    return history.last_touch(log).select(F.col("file").alias("user_id"), F.col("authored_at").alias("event_id"), F.col("sha").alias("event_type"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations")
@@ -307,30 +303,31 @@ def inventory_by_suffix(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.coalesce(text.category(path), F.lit("none")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, 'claim:' || source || '#' || substr(sha256(source || chr(31) || lower(trim(regexp_replace(substr(text, 1, 200), '[ \n\t\r]+', ' ', 'g'))) || chr(31) || CAST(n_chars AS VARCHAR)), 1, 16) AS id FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, 'claim:' || source || '#' || substr(sha256(source || chr(31) || lower(trim(regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) || chr(31) || CAST(n_chars AS VARCHAR)), 1, 16) AS id FROM documents WHERE text IS NOT NULL""")
 def content_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    cid = text.content_id(F.col("source"), text.normal_sentence(F.substring("text", 1, 200)), F.col("n_chars").cast("string"))
+    cid = text.content_id(F.col("source"), text.normal_sentence(F.col("text")), F.col("n_chars").cast("string"))
     return docs.select("doc_id", F.concat(F.lit("claim:"), "source", F.lit("#"), cid).alias("id"))
 
 
-@query("""SELECT 'orders' AS side, o_orderstatus AS status, count(*) AS n, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM orders GROUP BY 2""")
-def run_totals(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.sum((F.col("o_totalprice") > 100000).cast("long")).alias("large")).withColumn("side", F.lit("orders"))
-
-
 @query("""SELECT event_id, 'k' AS name, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') UNION ALL SELECT event_id, 'value', value FROM events WHERE value IS NOT NULL""")
 def json_metric_flatten(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    numeric = F.regexp_extract("props", '"k"\\s*:\\s*(-?[0-9.eE+-]+)\\s*[,}]', 1) != ""
-    flat = F.explode(F.map_from_arrays(F.array(F.lit("k"), F.lit("value")), F.array(F.when(numeric, F.get_json_object("props", "$.k").try_cast("double")), F.col("value")))).alias("name", "v")
-    return e.select("event_id", flat).filter("v is not null").withColumnRenamed("v", "value")
+    blobs = {"props": F.col("props"), "value": F.to_json(F.struct("value"))}
+    return trackers.numbers(table(spark, sf_dir, "events"), ["event_id"], blobs).drop("source")
 
 
-_DATES = ["2024-03-05", "03-05", "≤03-05", "<=12-31", "03-05~09", "02-28~03-02", "13-40", "2024-02-30", "03-05 evening", "later"]
-_EXPECTED = ["2024-03-05", "2024-03-05", "2024-03-05", "2024-12-31", "2024-03-09", "2024-03-02", None, None, "2024-03-05", None]
+@query(r"""WITH d AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%m-%d') AS md, strftime(o_orderdate, '%d') AS dd, CAST(o_orderdate AS DATE) AS ymd FROM orders),
+f AS (SELECT *, CASE k % 7 WHEN 0 THEN CAST(ymd AS VARCHAR) WHEN 1 THEN md WHEN 2 THEN '<=' || md WHEN 3 THEN md || '~28' WHEN 4 THEN md || '~12-31' WHEN 5 THEN md || ' evening' ELSE 'later' END AS form FROM d)
+SELECT k, form, CAST(CASE k % 7 WHEN 0 THEN ymd WHEN 6 THEN NULL WHEN 3 THEN CASE WHEN try_cast('2023-' || md AS DATE) IS NOT NULL THEN greatest(CAST('2023-' || md AS DATE), CAST('2023-' || md[:3] || '28' AS DATE)) END
+  WHEN 4 THEN CASE WHEN try_cast('2023-' || md AS DATE) IS NOT NULL THEN DATE '2023-12-31' END ELSE try_cast('2023-' || md AS DATE) END AS VARCHAR) AS date FROM f""")
+def date_forms(spark, sf_dir):
+    k, md = F.col("o_orderkey") % 7, F.date_format("o_orderdate", "MM-dd")
+    tail = {1: "", 3: "~28", 4: "~12-31", 5: " evening"}
+    form = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 2, F.concat(F.lit("<="), md)).when(k == 6, "later")
+    for n, t in tail.items():
+        form = form.when(k == n, F.concat(md, F.lit(t)))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), form.alias("form"))
+    return rows.select("k", "form", text.attempt_date(F.col("form"), 2023).cast("string").alias("date"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in zip(_DATES, _EXPECTED, strict=True)) + ") t(form, date)")
-def date_forms(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d in _DATES], "form string").select("form", text.attempt_date(F.col("form"), 2024).cast("string").alias("date"))
+from . import catalog_checks, catalog_papers  # noqa: E402, F401 - they add their queries here
