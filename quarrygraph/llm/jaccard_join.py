@@ -3,19 +3,21 @@
 1. Every text becomes its set of five-word shingles (a shorter text is one shingle), a 64-bit
    name of that set, and TREES * DEPTH minimum hashes. Texts with equal sets are copies; only one
    of each goes on.
-2. A tree's label is DEPTH hashes. Sorting by label puts the trie's nodes next to each other.
-   Prefixes are shortened from the full label: sets that agree on all of it are settled first
-   (each attaches to a leader that looks alike), and only leaders meet at shorter prefixes, down
-   to the depth at which a pair at the threshold is found with probability TARGET. As Jaccard
-   distance obeys the triangle inequality, wide enough limits on the estimates between leaders
-   keep every pair's two leaders connected. A node with very many sets is dealt out by salt first.
+2. A tree's label is DEPTH hashes. Sorting by label puts the trie's nodes next to each other. Sets that share a prefix in a tree meet: those that
+   agree on the whole label first (each attaches to a leader that looks alike), then the leaders. As Jaccard distance obeys the triangle
+   inequality, wide enough limits on the estimates between leaders keep every pair's two leaders connected. A node with very many sets, or
+   leaders, is dealt out by salt.
 3. Connected groups of candidates are compared exactly, all against all, in blocks: what a
-   task returns is a row for each set, never a row for each pair.
-4. Linked sets form classes.
+   task returns is a row for each set, never a row for each pair, and how similar the linked pairs are.
+4. Matched prefixes begin at the whole label and are shortened as the data ask for: a pair of the lowest similarity found so far must
+   share a prefix in some tree with probability TARGET. The search ends when the prefix is short enough for what it found; without any link it ends at
+   the length that serves a pair at the threshold. So the target holds for every band of similarity in which there are links.
+5. Linked sets form classes.
 
 Defined cases: null, empty and blank texts have no shingle: each is a class of its own without
-links. A null doc_id is kept in the result, but stands for a class only if no copy has an id.
-Repeated rows are copies of each other. Other columns are ignored. An empty table gives an empty result.
+links. Rows without an id are searched and linked like others; a class of such rows alone has a null class_id.
+Repeated rows are copies of each other; one id with several texts is as many texts. Other columns are ignored, whatever their names. A text of any
+length is taken whole, in its task's memory with eight bytes a word. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, columns, materialize, read_table, slices, small_batches
@@ -41,6 +43,8 @@ TREES, DEPTH = 16, 8
 TARGET = 0.999
 #: A set attaches to a leader whose estimated similarity is this or more; leaders are connected from that on.
 ATTACH, CONNECT = 0.85, 0.35
+#: Bands of similarity in which links are counted.
+BANDS = 100
 #: Sets of one trie node that a task handles together, and sets of a block of the exact comparison.
 NODE, BLOCK = 2_048, 256
 
@@ -49,10 +53,9 @@ _A = (_RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).
 _B = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 
 
-def shortest_prefix(target: float = TARGET) -> int:
-    """The greatest depth at which a pair at the threshold meets in some tree with the target's probability."""
-    t = THRESHOLD[0] / THRESHOLD[1]
-    return max([d for d in range(1, DEPTH + 1) if 1 - (1 - t**d) ** TREES >= target], default=1)
+def prefix_for(similarity: float, target: float = TARGET) -> int:
+    """The greatest depth at which a pair so similar meets in some tree with the target's probability."""
+    return max([d for d in range(1, DEPTH + 1) if 1 - (1 - similarity**d) ** TREES >= target], default=1)
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -101,23 +104,26 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets = shingle_sets(batch.column("text"))
                 node = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
                 sig = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), node, sig], ["doc_id", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "a", "b")), node, sig], ["doc_id", "a", "b", "node", "sig"])
 
 
-def _tree_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) for every tree: the key is the tree and its label's shortest prefix."""
-    depth = shortest_prefix()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)[:, :, :depth].astype(U)
-        key = np.broadcast_to(np.arange(TREES, dtype=U), sig.shape[:2]).copy()
-        with np.errstate(over="ignore"):
-            for d in range(depth):
-                key = mix(key * U(65_599) + sig[:, :, d] + U(1))
-        node = np.repeat(batch.column("node").to_numpy(), TREES)
-        tree = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(node), pa.array(tree)], ["key", "node", "tree"])
+def _tree_keys(depth: int):
+    """(key, node) for every tree: the key is the tree and a prefix of its label."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)[:, :, :depth].astype(U)
+            key = np.broadcast_to(np.arange(TREES, dtype=U), sig.shape[:2]).copy()
+            with np.errstate(over="ignore"):
+                for d in range(depth):
+                    key = mix(key * U(65_599) + sig[:, :, d] + U(1))
+            node = np.repeat(batch.column("node").to_numpy(), TREES)
+            tree = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(node), pa.array(tree)], ["key", "node", "tree"])
+
+    return run
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str], rest: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
@@ -194,7 +200,8 @@ def _link_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link_leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (key,), rows in groups(batches, ["key"], ["a", "sig"]):
+    """Edges between the leaders of two parts of a trie node."""
+    for (key, _, _), rows in groups(batches, ["key", "one", "two"], ["a", "sig"]):
         found = [(a, sig) for _, a, sig in rows]
         yield _edges([(key, a, b, None) for a, b in _connect([a for a, _ in found], np.frombuffer(b"".join(s for _, s in found), np.uint16).reshape(len(found), -1))])
 
@@ -228,18 +235,22 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks: every set, the smallest set of the block pair that it is linked with through links, and its number of links."""
+    """For each pair of blocks: every set, the smallest set of the block pair that it is linked with through links, and its number of links. At the
+    end, in rows without a set, the number of links by band of similarity."""
     out: list[tuple] = []
+    bands = np.zeros(BANDS + 1, np.int64)
     for (_, one, two), rows in groups(batches, ["comp", "one", "two"], ["block", "node", "shingles"]):
         found = list({r[2]: r[1:] for r in rows}.values())
         if len(found) < 2:
             continue
         ids, block = [r[1] for r in found], np.array([r[0] for r in found])
         sets = [np.frombuffer(r[2], U) for r in found]
-        links = similar(sets)
+        links, shared = similar(sets)
         if one != two:
             links &= block[:, None] != block[None, :]
         a, b = np.nonzero(np.triu(links, 1))
+        size = np.array([len(x) for x in sets])
+        bands += np.bincount((BANDS * shared[a, b] / (size[a] + size[b] - shared[a, b])).astype(np.int64), minlength=BANDS + 1)
         roots = _roots(len(ids), zip(a.tolist(), b.tolist(), strict=True))
         low: dict[int, int] = {}
         for x, r in enumerate(roots):
@@ -248,15 +259,15 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(out) >= 5_000:
             yield _linked(out)
             out = []
-    yield _linked(out)
+    yield _linked(out + [(None, k, int(n)) for k, n in enumerate(bands) if n])
 
 
 def _linked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["node", "root", "n"])
 
 
-def similar(sets: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
-    """Which sets reach the threshold with which others (not with themselves): shared elements counted by matrix products."""
+def similar(sets: list[np.ndarray], columns: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets reach the threshold with which others (not with themselves), and how many elements they share: counted by matrix products."""
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
@@ -273,7 +284,7 @@ def similar(sets: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
     size = np.array([len(s) for s in sets], np.float64)
     out = both * THRESHOLD[1] >= (size[:, None] + size[None, :] - both) * THRESHOLD[0]
     np.fill_diagonal(out, False)
-    return out
+    return out, both
 
 
 def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,48 +299,85 @@ def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out.filter(good)
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of the class), n_links and n_copies (texts with the same set) for every row of docs (doc_id, text)."""
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(spark, docs.mapInArrow(_sign, "doc_id long, node long, sig binary"), "signatures")
-    sets = materialize(spark, signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "sets")
+def _name() -> tuple[Column, Column]:
+    """Two numbers that name a text."""
+    return F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text").alias("b")
+
+
+def _rep() -> Column:
+    """What orders rows: those with an id first, by id, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+
 
-    # Trie nodes with two sets or more.
-    keys = sets.filter("rep is not null").select("node", "sig").mapInArrow(_tree_keys, "key long, node long, tree int")
+def _candidates(spark: SparkSession, sets: DataFrame, depth: int) -> DataFrame:
+    """(node, root): connected groups of the sets that share a prefix of this depth in some tree and look alike."""
+    keys = sets.select("node", "sig").mapInArrow(_tree_keys(depth), "key long, node long, tree int")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keys.join(shared, "key").join(sets.select("node", "sig"), "node")
-    depth = shortest_prefix()
     label = F.substring("sig", F.col("tree") * (2 * DEPTH) + (1 + 2 * depth), F.lit(2 * (DEPTH - depth)))
     parts = F.ceil(F.col("n") / NODE)
     members = members.select("key", "node", "sig", label.alias("label"), F.pmod(F.xxhash64("node"), parts).alias("salt"), (parts > 1).alias("dealt"))
     members = members.repartition("key", "salt").sortWithinPartitions("key", "salt", "label", "node")
     linked = materialize(spark, members.mapInArrow(_link_nodes, _LINK), "links")
-    leaders = linked.filter("b is null").select("key", "a", "sig").repartition("key").sortWithinPartitions("key", "a")
+    # Leaders of a dealt node meet in pairs of parts, as one task could not hold them all.
+    leaders = linked.filter("b is null").select("key", "a", "sig")
+    leaders = leaders.join(leaders.groupBy("key").agg(F.ceil(F.count("*") / NODE).cast("int").alias("parts")), "key")
+    leaders = leaders.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    leaders = leaders.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "a", "sig").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "a")
     edges = linked.filter("b is not null").select("a", "b").union(leaders.mapInArrow(_link_leaders, _LINK).select("a", "b"))
-    groups_ = components(spark, edges)
+    return components(spark, edges)
 
-    # Exact comparison within the groups of candidates.
-    sized = groups_.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    inside = groups_.join(sized, F.col("root") == F.col("comp")).join(sets.select("node", "rep"), "node")
-    inside = inside.select(F.col("rep").alias("doc_id"), "node", "comp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
+
+def _verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """What `_compare` returns for the groups of candidates."""
+    sized = found.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    inside = found.join(sized, F.col("root") == F.col("comp")).join(sets.select("node", "rep"), "node")
+    inside = inside.select("rep.*", "node", "comp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
     inside = materialize(spark, inside, "candidates")
-    texts = docs.join(broadcast_if_small(inside, inside.count()), "doc_id").select("comp", "block", "parts", "node", "text")
-    made = texts.mapInArrow(_shingles, "comp long, block int, parts int, node long, shingles binary")
+    rows, kept = docs.withColumns(dict(zip("ab", _name(), strict=True))), ["comp", "block", "parts", "node", "text"]
+    side = broadcast_if_small(inside, inside.count())
+    with_id = rows.join(side.filter("not none"), ["doc_id", "a", "b"]).select(*kept)
+    # A text that stands in no row with an id may stand in very many without one; one of them serves.
+    without = rows.filter("doc_id is null").drop("doc_id").join(side.filter("none").drop("doc_id"), ["a", "b"]).select(*kept).dropDuplicates(["node"])
+    made = with_id.union(without).mapInArrow(_shingles, "comp long, block int, parts int, node long, shingles binary")
     dealt = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "shingles")
     dealt = dealt.repartition("comp", "one", "two").sortWithinPartitions("comp", "one", "two", "node")
-    verified = materialize(spark, dealt.mapInArrow(_compare, "node long, root long, n long"), "verified")
+    return materialize(spark, dealt.mapInArrow(_compare, "node long, root long, n long"), "verified")
+
+
+def _search(spark: SparkSession, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """`_verified` at the greatest depth that serves the links found there."""
+    depth, threshold = DEPTH, THRESHOLD[0] / THRESHOLD[1]
+    while True:
+        verified = _verified(spark, docs, sets, _candidates(spark, sets, depth))
+        lowest = verified.filter("node is null").agg(F.min("root").alias("band")).first()["band"]
+        needed = prefix_for(threshold if lowest is None else max(threshold, lowest / BANDS))
+        if needed >= depth:
+            return verified.filter("node is not null")
+        depth = needed
+
 
+def classified(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, the numbers a and b that name its text, class (null for a text without words), class_id, n_links and n_copies for every row of docs."""
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = materialize(spark, docs.select("doc_id", *_name(), "text").mapInArrow(_sign, "doc_id long, a long, b long, node long, sig binary"), "signatures")
+    sets = materialize(spark, signed.filter("node is not null").groupBy("node").agg(F.min(_rep()).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "sets")
+    verified = _search(spark, docs, sets)
     roots = components(spark, verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("n").alias("n_links"))
-    named = sets.select("node", "rep", "n_copies").join(roots, "node", "left").join(links, "node", "left")
+    named = sets.select("node", F.col("rep.doc_id").alias("rep"), "n_copies").join(roots, "node", "left").join(links, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(ids, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return signed.select("doc_id", "node").join(named, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
-    )
+    named = named.join(ids, "root").select("node", F.col("root").alias("class"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    out = signed.select("doc_id", "a", "b", "node").join(named, "node", "left")
+    return out.select("doc_id", "a", "b", "class", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest id of the class), n_links and n_copies (texts with the same set) for every row of docs (doc_id, text)."""
+    return classified(spark, docs).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,11 +385,16 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the smallest id, once. Rows without an id all stay."""
-    found = classes(spark, docs)
-    kept = materialize(spark, found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    facts = kept.agg(F.count("*").alias("n"), F.max("rows").alias("most")).first()
-    out = docs.join(broadcast_if_small(kept.select("doc_id"), facts["n"]), "doc_id", "left_semi")
+    """One document of each class: that with the smallest id, or, in a class without ids, with the smallest name of its text; once, if its row is repeated.
+    Texts without words all stay."""
+    found = materialize(spark, classified(spark, docs).select("doc_id", "a", "b", "class"), "classified")
+    first = found.filter("class is not null").groupBy("class").agg(F.min(_rep()).alias("r")).select("r.doc_id", "r.a", "r.b")
+    kept = materialize(spark, found.filter("class is not null").join(first.withColumnsRenamed({"doc_id": "_d", "a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_d"))).groupBy("_d", "_a", "_b").agg(F.count("*").alias("_rows")), "kept")
+    facts = kept.agg(F.count("*").alias("n"), F.max("_rows").alias("most")).first()
+    packed = docs.select(F.struct(*columns(docs)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text").withColumns(dict(zip(("_ta", "_tb"), _name(), strict=True)))
+    blank = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    side = broadcast_if_small(kept.drop("_rows"), facts["n"])
+    chosen = packed.filter(~blank).join(side, (F.col("_ta") == F.col("_a")) & (F.col("_tb") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
     if (facts["most"] or 0) > 1:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null")).select(*columns(docs))
+        chosen = chosen.dropDuplicates(["_id", "_ta", "_tb"])
+    return chosen.select("_row.*").union(packed.filter(blank).select("_row.*"))

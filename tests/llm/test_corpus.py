@@ -53,6 +53,7 @@ def test_jaccard_join(spark, docs, empty):
     sets = {i: shingles(t) for i, t, *_ in rows() if i is not None}
     found = {r.doc_id: r for r in jaccard_join.classes(spark, docs).collect()}
     assert len(found) == len(sets) + 1
+    assert found[None].n_links == 0 and found[None].class_id is None
     for i, s in sets.items():
         alike = {j for j, x in sets.items() if s and x and 5 * len(s & x) >= 4 * len(s | x)}
         assert found[i].class_id == min(alike | {i}), i
@@ -77,6 +78,53 @@ def test_large_group_in_parts(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == {i: sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
 
 
+def test_rows_without_ids_are_linked(spark):
+    w = prose(100).split()
+    near = " ".join([*w[:50], "other", *w[51:]])
+    df = spark.createDataFrame([(None, " ".join(w), "k"), (None, " ".join(w), "k"), (7, near, "k"), (None, prose(50), "k"), (None, None, "k"), (None, " ", "k"), (3, prose(40), "k"), (3, prose(41), "k"), (3, prose(40), "k")], "doc_id long, text string, `node.x` string")
+    got = {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_join.classes(spark, df.select("doc_id", "text")).collect()}
+    assert (None, 7, 1, 2) in got and (7, 7, 1, 1) in got and (None, None, 0, 1) in got
+    kept = jaccard_join.keep_one(spark, df, "").collect()
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in kept if r.doc_id != 3) == sorted([("7", len(near)), ("None", len(kept_text)), ("None", 0), ("None", 1)] if (kept_text := next(r.text for r in df.collect() if r.doc_id is None and r.text and len(r.text) > 5 and r.text != " ".join(w))) else [])
+    assert sum(r.doc_id == 3 for r in kept) == 3 and kept[0].__fields__ == ["doc_id", "text", "node.x"]
+
+
+@pytest.mark.parametrize("lowest", [0.93, 0.8])
+def test_recall_against_brute_force(spark, monkeypatch, lowest):
+    """5,000 texts in families of near copies of every similarity: no link is lost, and the prefix is as short as the links need."""
+    depths = []
+    original = jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda sp, sets, depth: depths.append(depth) or original(sp, sets, depth))
+    r, texts = random.Random(15), []
+    while len(texts) < 5_000:
+        w = [r.choice(VOCAB) for _ in range(r.randint(60, 200))]
+        texts.append(" ".join(w))
+        for _ in range(r.choice([0, 1, 3, 6])):
+            edits = [0, 1] if lowest > 0.9 else [0, 1, 2, 3, 4]
+            x = list(w)
+            for k in [r.randrange(len(x)) for _ in range(r.choice(edits))]:
+                x[k] = f"n{r.random()}"
+            if lowest <= 0.9 or len(w) > 160:
+                texts.append(" ".join(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x for x in jaccard_join.classes(spark, df).collect()}
+    sets = [shingles(t) for t in texts]
+    by = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            by[g].append(i)
+    links, least = collections.defaultdict(set), 1.0
+    for i, j in {(i, j) for g in by.values() for k, i in enumerate(g) for j in g[k + 1 :]}:
+        same = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        if same >= 0.8:
+            links[i].add(sets[j]), links[j].add(sets[i])
+            least = min(least, same) if same < 1 else least
+    want = {i: len(links[i] - {sets[i]}) for i in range(len(texts))}
+    total, lost = sum(want.values()), sum(abs(want[i] - got[i].n_links) for i in want)
+    assert total > 1_000 and lost <= 0.001 * total, (total, lost)
+    assert depths[0] == jaccard_join.DEPTH and depths[-1] == min(jaccard_join.DEPTH, jaccard_join.prefix_for(math.floor(least * 100) / 100)), (depths, least)
+
+
 def test_components(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in jaccard_join.components(spark, path).collect()}
