@@ -43,8 +43,11 @@ HEAVY = 1 << 20
 END_WORD = 0
 #: Tokens that a task scores together.
 TOKENS = 3_000_000
-#: Rows whose softmax is computed together, rows of one class in a tile of these, and weights of a row in the sum over the parts.
-_ROWS_AT_ONCE, _TILE, _PART = 4_096, 32, 65_536
+#: Rows whose softmax is computed together (what stays in a core's cache), what a smaller class's rows are filled up to a multiple of, rows from which a class is
+#: computed by itself, weights that are updated together, and weights of a row in the sum over the parts.
+_ROWS_AT_ONCE, _TILE, _ALONE, _STEP, _PART = 512, 8, 64, 16_384, 65_536
+#: Texts that are scored together, and rows of theirs whose softmax is computed class by class.
+_TEXTS, _SORTED = 1_024, 32_768
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +105,73 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _tiles(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in tiles of _TILE of one class, -1 where there is none, and each tile's class, in order."""
+def _halved(w: np.ndarray) -> np.ndarray:
+    """A copy with the columns of both gates halved: 2 * sigmoid(x) = tanh(x / 2) + 1."""
+    w = w.copy()
+    w[:, : 2 * HIDDEN] *= 0.5
+    return w
+
+
+def _advance(u: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u @ h, both gates, the new part, the next state); a column for each lane, u and x halved."""
+    n = HIDDEN
+    a = u @ h
+    zr = x[: 2 * n] + a[: 2 * n]
+    np.tanh(zr, out=zr)
+    zr += 1
+    zr *= 0.5
+    new = zr[n:] * a[2 * n :]
+    new += x[2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= zr[:n]
+    out += new
+    return a, zr, new, out
+
+
+def _runs(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows in the order of their class, where each class begins, rows of each class)."""
     n = np.bincount(cls, minlength=classes)
-    tiles = -(-n // _TILE)
-    order = np.argsort(cls, kind="stable")
-    rows = np.full(int(tiles.sum()) * _TILE, -1, np.int64)
-    rows[np.arange(len(cls)) + np.repeat((np.cumsum(tiles) - tiles) * _TILE - (np.cumsum(n) - n), n)] = order
-    return rows.reshape(-1, _TILE), np.repeat(np.arange(classes), tiles)
+    return np.argsort(cls.astype(np.int16 if classes < 1 << 15 else np.int64), kind="stable"), np.cumsum(n) - n, n
+
+
+def _tiles(order: np.ndarray, begin: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, their rows) of the classes of under _ALONE rows, those together whose rows fill as many multiples of _TILE; -1 where there is no row."""
+    size = np.where(n < _ALONE, -(-n // _TILE), 0)
+    order = np.append(order, -1)
+    for k in np.unique(size[size > 0]).tolist():
+        same = np.flatnonzero(size == k)
+        for c in (same[a : a + max(1, _ROWS_AT_ONCE // (k * _TILE))] for a in range(0, len(same), max(1, _ROWS_AT_ONCE // (k * _TILE)))):
+            at = np.arange(k * _TILE)
+            yield c, order[np.where(at < n[c, None], begin[c, None] + at, len(order) - 1)]
+
+
+def _summed(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at first: the places of every run that come early are added together, what is left of long ones by itself."""
+    out = rows[first]
+    length = np.diff(np.append(first, len(rows)))
+    for k in range(1, 9):
+        some = np.flatnonzero(length > k)
+        if not len(some):
+            return out
+        out[some] += rows[first[some] + k]
+    for j in np.flatnonzero(length > 9).tolist():
+        out[j] += rows[first[j] + 9 : first[j] + length[j]].sum(0)
+    return out
+
+
+def _adam(g: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, lr: float) -> None:
+    """One step of the weights w against the gradient g; a is ten times its running mean, b a thousand times its square's. All are overwritten."""
+    a *= np.float32(0.9)
+    a += g
+    g *= g
+    b *= np.float32(0.999)
+    b += g
+    np.sqrt(b, out=g)
+    g += np.float32(1e-8 * math.sqrt(1000))
+    np.divide(a, g, out=g)
+    g *= np.float32(lr * 0.1 * math.sqrt(1000))
+    w -= g
 
 
 class Network:
@@ -121,10 +183,15 @@ class Network:
         self.classes, self.learned = c, 0
         self.x = rng.normal(0, 0.1, (c * c, 3 * h)).astype(np.float32)
         self.u = rng.normal(0, 1 / math.sqrt(h), (h, 3 * h)).astype(np.float32)
-        self.wc = np.zeros((h, c), np.float32)
-        self.bc = np.log(share.sum(1) / share.sum()).astype(np.float32)
-        self.ww = np.zeros((c, h, c), np.float32)
-        self.bw = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
+        # The biases stand below the weights, as what a state's last element, 1, is multiplied with.
+        self.c, self.w = np.zeros((h + 1, c), np.float32), np.zeros((c, h + 1, c), np.float32)
+        self.bc = np.log(share.sum(1) / share.sum())
+        self.bw = np.log(share / share.sum(1, keepdims=True))
+
+    wc = property(lambda self: self.c[:-1], lambda self, value: self.c[:-1].__setitem__(..., value))
+    bc = property(lambda self: self.c[-1], lambda self, value: self.c[-1].__setitem__(..., value))
+    ww = property(lambda self: self.w[:, :-1], lambda self, value: self.w[:, :-1].__setitem__(..., value))
+    bw = property(lambda self: self.w[:, -1], lambda self, value: self.w[:, -1].__setitem__(..., value))
 
     def flat(self) -> np.ndarray:
         """All weights as one vector."""
@@ -147,26 +214,30 @@ class Network:
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log-probability of each token after the state in its row."""
-        if len(token) > _ROWS_AT_ONCE:
-            return np.concatenate([self.log_probs(h[a : a + _ROWS_AT_ONCE], token[a : a + _ROWS_AT_ONCE]) for a in range(0, len(token), _ROWS_AT_ONCE)])
-        cls, within = token // self.classes, token % self.classes
-        out = self._log_softmax(h @ self.wc, self.bc, cls)
-        rows, of = _tiles(cls, self.classes)
-        z = np.matmul(np.concatenate([h, np.zeros((1, HIDDEN), np.float32)])[rows], self.ww[of])
-        some = rows >= 0
-        out[rows[some]] += self._log_softmax(z, self.bw[of][:, None, :], np.append(within, 0)[rows])[some]
+        x = np.ones((len(h), HIDDEN + 1), np.float32)
+        x[:, :-1] = h
+        cls, within = np.divmod(token, self.classes)
+        out = np.empty(len(x), np.float32)
+        for a in range(0, len(x), _ROWS_AT_ONCE):
+            b = slice(a, a + _ROWS_AT_ONCE)
+            out[b] = self._log_softmax(x[b] @ self.c, cls[b])
+        order, begin, n = _runs(cls, self.classes)
+        x, within = x[order], within[order]
+        for c in np.flatnonzero(n).tolist():
+            for a in range(begin[c], begin[c] + n[c], _ROWS_AT_ONCE):
+                b = slice(a, min(a + _ROWS_AT_ONCE, begin[c] + n[c]))
+                out[order[b]] += self._log_softmax(x[b] @ self.w[c], within[b])
         return out
 
     @staticmethod
-    def _log_softmax(z: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """log(softmax(z + bias)) along the last axis, at the right answers; z is overwritten."""
-        z += bias
-        out = np.take_along_axis(z, right[..., None], -1)[..., 0]
-        if z.size and z.max() > 60:
+    def _log_softmax(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log(softmax(z)) of each row at the right answer; z is overwritten."""
+        out = z[np.arange(len(z)), right]
+        if z.max() > 60 or z.min() < -80:
             m = z.max(-1)
-            z -= m[..., None]
+            z -= m[:, None]
             out -= m
-        return out - np.log(np.exp(z, out=z).sum(-1))
+        return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
     def train(self, tokens: np.ndarray, end: int, epochs: int = EPOCHS, rate: float = 0.01, most_lanes: int = LANES) -> Network:
         return self.learn((tokens for _ in range(epochs)), end, epochs * len(tokens), rate, most_lanes)
@@ -175,7 +246,7 @@ class Network:
         """Adam over windows of lanes cut from each chunk, to its last token; the state passes from window to window and is cleared after an end.
 
         The rate falls with the share of the expected tokens that are read, to a tenth."""
-        m1, m2 = ({k: np.zeros_like(getattr(self, k)) for k in WEIGHTS} for _ in range(2))
+        m1, m2 = ({k: np.zeros_like(getattr(self, k)) for k in "xucw"} for _ in range(2))
         updates = read = 0
         for tokens in chunks:
             if not len(tokens):
@@ -191,110 +262,176 @@ class Network:
                 n = float(weight.sum())
                 if not n:
                     break
-                h, grads = self.gradients(h, stream[at : at + WINDOW], weight, end)
+                h, grads = self._gradients(h, stream[at : at + WINDOW], weight / np.float32(n), end)
                 updates, read = updates + 1, read + n
                 lr = rate * max(0.1, 1 - read / max(1, expected)) * math.sqrt(1 - 0.999**updates) / (1 - 0.9**updates)
                 for k, (rows, g) in grads.items():
-                    g /= n
-                    a, b = m1[k][rows], m2[k][rows]
-                    a = a + 0.1 * (g - a)
-                    b = b + 0.001 * (g * g - b)
-                    m1[k][rows], m2[k][rows] = a, b
-                    getattr(self, k)[rows] -= lr * a / (np.sqrt(b) + 1e-8)
+                    if rows is None:  # all of them, in parts that stay in the cache
+                        parts = (y.ravel() for y in (g, m1[k], m2[k], getattr(self, k)))
+                        g, a, b, w = ([y[i : i + _STEP] for i in range(0, len(y), _STEP)] for y in parts)
+                        for one in zip(g, a, b, w, strict=True):
+                            _adam(*one, lr)
+                    else:
+                        held = m1[k], m2[k], getattr(self, k)
+                        for i in range(0, len(rows), _ROWS_AT_ONCE):
+                            some = rows[i : i + _ROWS_AT_ONCE]
+                            a, b, w = (y[some] for y in held)
+                            _adam(g[i : i + _ROWS_AT_ONCE], a, b, w, lr)
+                            for y, value in zip(held, (a, b, w), strict=True):
+                                y[some] = value
         return self
 
     def gradients(self, h: np.ndarray, window: np.ndarray, weight: np.ndarray, end: int) -> tuple[np.ndarray, dict]:
         """(state after the window, for each kind of weights the rows that the window touches and their gradient)."""
-        n, lanes = HIDDEN, len(h)
-        states, kept = np.empty((*window.shape, n), np.float32), []
-        for t, tok in enumerate(window):
-            # Predict tok from h, then read it.
+        h, grads = self._gradients(h, window, weight, end)
+        every, c, w = slice(None), grads["c"][1], grads["w"][1]
+        return h, {"x": grads["x"], "u": (every, grads["u"][1]), "wc": (every, c[:-1]), "bc": (every, c[-1]), "ww": (every, w[:, :-1]), "bw": (every, w[:, -1])}
+
+    def _gradients(self, h: np.ndarray, window: np.ndarray, weight: np.ndarray, end: int) -> tuple[np.ndarray, dict]:
+        """The same by the arrays that hold the weights; all rows are None. Lanes are columns here, so that gates lie side by side."""
+        n, (steps, lanes) = HIDDEN, window.shape
+        u = np.ascontiguousarray(_halved(self.u).T)
+        live = (window != end).astype(np.float32)
+        states, inputs, gates, news = (np.empty((steps, k, lanes), np.float32) for k in (n, n, 2 * n, n))
+        h = np.ascontiguousarray(h.T)
+        for t in range(steps):
+            # Predict the token from h, then read it.
             states[t] = h
-            a, x = h @ self.u, self.x[tok]
-            zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-            new = np.tanh(x[:, 2 * n :] + zr[:, n:] * a[:, 2 * n :])
-            live = (tok != end)[:, None].astype(np.float32)
-            kept.append((a, zr, new, live))
-            h = live * (new + zr[:, :n] * (h - new))
-        flat, token = states.reshape(-1, n), window.ravel()
-        cls, within = token // self.classes, token % self.classes
-        p = self._errors(flat @ self.wc, self.bc, cls, weight)
-        g_wc, g_bc, outer = flat.T @ p, p.sum(0), p @ self.wc.T
-        # Rows of one class meet its weights together, in tiles; the row behind the last is empty.
-        rows, of = _tiles(cls, self.classes)
-        x, w = np.concatenate([flat, np.zeros((1, n), np.float32)])[rows], self.ww[of]
-        p = self._errors(np.matmul(x, w), self.bw[of][:, None, :], np.append(within, 0)[rows], np.append(weight, np.float32(0))[rows])
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        g_ww, g_bw = np.zeros_like(self.ww), np.zeros_like(self.bw)
-        g_ww[of[first]] = np.add.reduceat(np.matmul(x.transpose(0, 2, 1), p), first)
-        g_bw[of[first]] = np.add.reduceat(p.sum(1), first)
-        some = rows >= 0
-        outer[rows[some]] += np.matmul(p, w.transpose(0, 2, 1))[some]
-        outer = outer.reshape(states.shape)
-        gates, inner = np.empty((2, len(window), lanes, 3 * n), np.float32)
-        back = np.zeros_like(h)
-        for t in range(len(window) - 1, -1, -1):
-            a, zr, new, live = kept[t]
-            d = back * live
-            z, r = zr[:, :n], zr[:, n:]
-            d_new = d * (1 - z) * (1 - new**2)
-            gates[t, :, :n] = d * (states[t] - new) * z * (1 - z)
-            gates[t, :, n : 2 * n] = d_new * a[:, 2 * n :] * r * (1 - r)
-            gates[t, :, 2 * n :] = d_new
-            inner[t] = gates[t]
-            inner[t, :, 2 * n :] *= r
-            back = d * z + inner[t] @ self.u.T + outer[t]
+            x = np.ascontiguousarray(self.x[window[t]].T)
+            x[: 2 * n] *= 0.5
+            a, gates[t], news[t], h = _advance(u, x, h)
+            inputs[t] = a[2 * n :]
+            h *= live[t]
+        flat = np.ones((steps * lanes, n + 1), np.float32)
+        flat.reshape(steps, lanes, n + 1)[..., :n] = states.transpose(0, 2, 1)
+        token = window.ravel()
+        g_c, g_w, outer = self._outputs(flat, token, weight)
+        outer = np.ascontiguousarray(outer.reshape(steps, lanes, n).transpose(0, 2, 1))
+        z, r = gates[:, :n], gates[:, n:]
+        by_new = (1 - z) * (1 - news**2)
+        by_z = (states - news) * (z * (1 - z))
+        by_r = inputs * (r * (1 - r))
+        inner, gate = np.empty((steps, 3 * n, lanes), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
+        back = np.zeros((n, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            d = back * live[t]
+            d_new = d * by_new[t]
+            np.multiply(d, by_z[t], out=inner[t, :n])
+            np.multiply(d_new, by_r[t], out=inner[t, n : 2 * n])
+            np.multiply(d_new, r[t], out=inner[t, 2 * n :])
+            gate[t, :, : 2 * n] = inner[t, : 2 * n].T
+            gate[t, :, 2 * n :] = d_new.T
+            back = self.u @ inner[t]
+            d *= z[t]
+            back += d
+            back += outer[t]
         order = np.argsort(token, kind="stable")
         sorted_tokens = token[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]))
-        g_x = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first)
-        every = slice(None)
-        return h, {"x": (sorted_tokens[first], g_x), "u": (every, flat.T @ inner.reshape(-1, 3 * n)), "wc": (every, g_wc), "bc": (every, g_bc), "ww": (every, g_ww), "bw": (every, g_bw)}
+        g_x = _summed(gate.reshape(-1, 3 * n)[order], first)
+        g_u = np.matmul(states, inner.transpose(0, 2, 1)).sum(0)
+        return np.ascontiguousarray(h.T), {"x": (sorted_tokens[first], g_x), "u": (None, g_u), "c": (None, g_c), "w": (None, g_w)}
+
+    def _outputs(self, flat: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of both softmaxes' weights, and of the states in flat."""
+        cls, within = np.divmod(token, self.classes)
+        g_c, g_w, outer = np.zeros_like(self.c), np.zeros_like(self.w), np.empty((len(flat), HIDDEN), np.float32)
+        for a in range(0, len(flat), _ROWS_AT_ONCE):
+            b = slice(a, a + _ROWS_AT_ONCE)
+            e, scale = self._errors(flat[b] @ self.c, cls[b], weight[b])
+            g_c += (flat[b] * scale).T @ e
+            np.multiply(e @ self.c[:-1].T, scale, out=outer[b])
+        order, begin, n = _runs(cls, self.classes)
+        for c in np.flatnonzero(n >= _ALONE).tolist():
+            for a in range(begin[c], begin[c] + n[c], _ROWS_AT_ONCE):
+                rows = order[a : min(a + _ROWS_AT_ONCE, begin[c] + n[c])]
+                x = flat[rows]
+                e, scale = self._errors(x @ self.w[c], within[rows], weight[rows])
+                x *= scale
+                g_w[c] += x.T @ e
+                outer[rows] += (e @ self.w[c, :-1].T) * scale
+        # Few rows of a class meet its weights beside those of other classes; the row behind the last is empty.
+        flat, within, weight = np.concatenate([flat, np.zeros((1, HIDDEN + 1), np.float32)]), np.append(within, 0), np.append(weight, np.float32(0))
+        for k, rows in _tiles(order, begin, n):
+            x, w = flat[rows], self.w[k]
+            e, scale = self._errors(np.matmul(x, w).reshape(-1, self.classes), within[rows].ravel(), weight[rows].ravel())
+            e, scale = e.reshape(*rows.shape, -1), scale.reshape(*rows.shape, 1)
+            x *= scale
+            g_w[k] = np.matmul(x.transpose(0, 2, 1), e)
+            some = rows >= 0
+            outer[rows[some]] += (np.matmul(e, w[:, :-1].transpose(0, 2, 1)) * scale)[some]
+        return g_c, g_w, outer
 
     @staticmethod
-    def _errors(z: np.ndarray, bias: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weighted softmax of z + bias, along the last axis, less the right answers; z is overwritten."""
-        z += bias
-        if z.max() > 60:
+    def _errors(z: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(e, scale): e times the scale of its row, in a column, is the row's weighted softmax less the right answer. z is overwritten."""
+        if z.max() > 60 or z.min() < -80:
             z -= z.max(-1, keepdims=True)
-        p = np.exp(z, out=z)
-        p *= (weight / p.sum(-1))[..., None]
-        right = right[..., None]
-        np.put_along_axis(p, right, np.take_along_axis(p, right, -1) - weight[..., None], -1)
-        return p
+        e = np.exp(z, out=z)
+        total = e @ np.ones(e.shape[1], np.float32)
+        e[np.arange(len(e)), right] -= total
+        return e, (weight / total)[:, None]
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10-probability of every whole token sequence; all advance together, the shorter ones drop out."""
+        """log10-probability of every whole token sequence. Those of like length advance together, the shorter ones drop out."""
         out = np.zeros(len(texts))
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[i]) for i in order])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.concatenate([texts[i] for i in order]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        h, at = np.zeros((len(texts), HIDDEN), np.float32), 0
-        total = np.zeros(len(texts))
-        while at < (lengths[0] if len(lengths) else 0):
-            states, tokens, rows = [], [], []
-            for t in range(at, min(at + WINDOW, lengths[0])):
-                live = int(np.searchsorted(-lengths, -t, "left"))  # those longer than t
-                h = h[:live]
+        u, table = np.ascontiguousarray(_halved(self.u).T), _halved(self.x)
+        states, tokens, rows, size = [], [], [], 0
+
+        def add() -> None:
+            nonlocal states, tokens, rows, size
+            if size:
+                p = self.log_probs(np.concatenate(states), np.concatenate(tokens))
+                np.add(out, np.bincount(np.concatenate(rows), p, len(out)), out=out)
+            states, tokens, rows, size = [], [], [], 0
+
+        for a in range(0, len(order), _TEXTS):
+            group = order[a : a + _TEXTS]
+            lengths = np.array([len(texts[i]) for i in group])
+            starts = np.cumsum(lengths) - lengths
+            flat = np.concatenate([texts[i] for i in group]).astype(np.int64)
+            # How many are longer than t.
+            alive = len(group) - np.cumsum(np.bincount(lengths, minlength=lengths[0] + 1))
+            h = np.zeros((HIDDEN, len(group)), np.float32)
+            for t in range(lengths[0]):
+                live = int(alive[t])
+                if live < h.shape[1]:
+                    h = np.ascontiguousarray(h[:, :live])
                 tok = flat[starts[:live] + t]
-                states.append(h)
+                states.append(h.T)
                 tokens.append(tok)
-                rows.append(np.arange(live))
-                h = self.step(h, tok)
-            at += WINDOW
-            p = self.log_probs(np.concatenate(states), np.concatenate(tokens))
-            total += np.bincount(np.concatenate(rows), p, len(texts))
-        out[order] = total / math.log(10)
-        return out
+                rows.append(group[:live])
+                size += live
+                h = _advance(u, np.ascontiguousarray(table[tok].T), h)[3]
+                if size >= _SORTED:
+                    add()
+        add()
+        return out / math.log(10)
+
+
+def buckets(words_sorted: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Where the words of each value of their first bits begin among the sorted words, with a bucket for each word or more, and how far to shift for these bits."""
+    bits = max(1, len(words_sorted)).bit_length()
+    return np.append(np.searchsorted(words_sorted, np.arange(1 << bits, dtype=U) << U(64 - bits)), len(words_sorted)).astype(np.int32), U(64 - bits)
 
 
-def tokens_of(texts: pa.Array, words_sorted: np.ndarray, ids: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, token of each word or `other`, words per text); words_sorted has the known hashes as sorted unsigned numbers."""
+def tokens_of(texts: pa.Array, words_sorted: np.ndarray, begin: tuple[np.ndarray, np.uint64], ids: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, token of each word or `other`, words per text); words_sorted has the known hashes as sorted unsigned numbers, begin their buckets."""
     h, n = words(texts, lower=True)
-    at = np.minimum(np.searchsorted(words_sorted, h), max(0, len(words_sorted) - 1))
-    known = words_sorted[at] == h if len(words_sorted) else np.zeros(len(h), bool)
-    return h, np.where(known, ids[at] if len(ids) else other, other), n
+    out = np.full(len(h), other, ids.dtype)
+    key = (h >> begin[1]).astype(np.int64)
+    at, last = begin[0][key], begin[0][key + 1]
+    live = np.flatnonzero(at < last)
+    at, last, h_live = at[live], last[live], h[live]
+    while len(live):
+        found = words_sorted[at]
+        same = found == h_live
+        out[live[same]] = ids[at[same]]
+        at += 1
+        more = (found < h_live) & (at < last)
+        live, at, last, h_live = live[more], at[more], last[more], h_live[more]
+    return h, out, n
 
 
 def train_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> Network:
@@ -304,11 +441,12 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> Netwo
     w = np.array(sorted(vocabulary.by_word, key=lambda x: x & (2**64 - 1)), np.int64)
     ids = np.array([vocabulary.by_word[int(x)] for x in w], np.int32)
     w, other, end = w.view(U), vocabulary.other, vocabulary.end
+    begin = buckets(w)
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for whole in batches:
             for batch in slices(whole):
-                _, tok, n = tokens_of(batch.column("text"), w, ids, other)
+                _, tok, n = tokens_of(batch.column("text"), w, begin, ids, other)
                 for part in np.split(tok.astype(np.int32), np.cumsum(n)[:-1]):
                     yield np.append(part, np.int32(end))
 
@@ -405,6 +543,7 @@ def score(spark: SparkSession, docs: DataFrame, training: DataFrame) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
+        begin = buckets(heavy_words)
         held: list[tuple[np.ndarray, list]] = []
         size = 0
 
@@ -417,7 +556,7 @@ def score(spark: SparkSession, docs: DataFrame, training: DataFrame) -> DataFram
 
         for whole in batches:
             for batch in slices(whole):
-                h, place, n = tokens_of(batch.column("text"), heavy_words, np.arange(len(heavy_words)), -1)
+                h, place, n = tokens_of(batch.column("text"), heavy_words, begin, np.arange(len(heavy_words)), -1)
                 known = place >= 0
                 log = np.where(known, logs[place] if len(logs) else 0.0, 0.0)
                 tok = np.where(known, own[place] if len(own) else -1, -1)
