@@ -47,6 +47,8 @@ ATTACH, CONNECT = 0.85, 0.35
 BANDS = 100
 #: Sets of one trie node that a task handles together, and sets of a block of the exact comparison.
 NODE, BLOCK = 2_048, 256
+#: Edges that one task connects at the end of `components`, 16 bytes each; more are connected by rounds over all tasks.
+AT_ONCE = 400_000
 
 _RNG = np.random.default_rng(20_240_229)
 _A = (_RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -211,18 +213,53 @@ def _edges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "a", "b", "sig"])
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), and for each the smallest node that it is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forests(own: bool):
+    """Edges from every node to the smallest that the task's edges connect it with; with own also from that node to itself. The edges
+    are cut down whenever so many have come together, so a task holds one for each node and some more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+        more = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            more += batch.num_rows
+            if more >= max(AT_ONCE, len(held[0][0])):
+                held, more = [_forest(*map(np.concatenate, zip(*held, strict=True)))], 0
+        nodes, roots = _forest(*map(np.concatenate, zip(*held, strict=True)))
+        some = np.full(len(nodes), True) if own else nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some])], ["node", "root"])
+
+    return run
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): the smallest node that it is connected with.
 
-    Alternating large-star and small-star rounds; each writes its edges to the shared folder. Hubs are
-    only ever aggregated by minimum, never gathered.
+    Every task first connects its own edges. Up to AT_ONCE edges that are left are connected by one task; more go through alternating
+    large-star and small-star rounds, each of which writes its edges to the shared folder. Hubs are only ever aggregated by minimum there, never gathered.
     """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(spark, e, "edges")
+    e = materialize(spark, edges.filter("a <> b").select("a", "b").mapInArrow(_forests(False), "a long, b long"), "edges")
+    if e.count() <= AT_ONCE:
+        return materialize(spark, e.coalesce(1).mapInArrow(_forests(True), "node long, root long"), "roots")
     seen = None
     while True:
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        if mark == seen or not mark["n"]:
+        if mark == seen:
             break
         seen = mark
         both = e.union(e.select("b", "a")).toDF("u", "v")
@@ -319,12 +356,14 @@ def _candidates(spark: SparkSession, sets: DataFrame, depth: int) -> DataFrame:
     members = members.select("key", "node", "sig", label.alias("label"), F.pmod(F.xxhash64("node"), parts).alias("salt"), (parts > 1).alias("dealt"))
     members = members.repartition("key", "salt").sortWithinPartitions("key", "salt", "label", "node")
     linked = materialize(spark, members.mapInArrow(_link_nodes, _LINK), "links")
+    edges, leaders = linked.filter("b is not null").select("a", "b"), linked.filter("b is null").select("key", "a", "sig")
+    if leaders.isEmpty():
+        return components(spark, edges)
     # Leaders of a dealt node meet in pairs of parts, as one task could not hold them all.
-    leaders = linked.filter("b is null").select("key", "a", "sig")
     leaders = leaders.join(leaders.groupBy("key").agg(F.ceil(F.count("*") / NODE).cast("int").alias("parts")), "key")
     leaders = leaders.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     leaders = leaders.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "a", "sig").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "a")
-    edges = linked.filter("b is not null").select("a", "b").union(leaders.mapInArrow(_link_leaders, _LINK).select("a", "b"))
+    edges = edges.union(leaders.mapInArrow(_link_leaders, _LINK).select("a", "b"))
     return components(spark, edges)
 
 

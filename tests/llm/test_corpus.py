@@ -438,3 +438,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "decontaminate", "secrets", "mix_sources"]
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids <= {r[0] for r in rows()} and not ids & {1, 2, 4, 5, 6, 13} and set(out.columns) == {*DOCS.replace(",", "").split()[::2], "copy"}
+
+
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    pairs = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(380)] + [(k, k + 1) for k in range(1_000, 1_060)] + [(5_000, k) for k in range(4_900, 5_100)] + [(7, 7), (9_000, 9_000)]
+    low = {x: x for p in pairs if p[0] != p[1] for x in p}
+    while any(low[a] != low[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    edges = spark.createDataFrame(pairs * 2, "a long, b long").repartition(5)
+    for most in (jaccard_join.AT_ONCE, 0):
+        monkeypatch.setattr(jaccard_join, "AT_ONCE", most)
+        got = jaccard_join.components(spark, edges).collect()
+        assert len(got) == len(low) and {x.node: x.root for x in got} == low
+    assert jaccard_join.components(spark, edges.limit(0)).count() == 0
+
+
+def test_components_of_a_small_graph_takes_few_jobs(spark):
+    """The driver holds every job's plan and compiled code: rounds over all tasks are for large graphs."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long").repartition(3)
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    try:
+        jaccard_join.components(spark, edges)
+        assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 6
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
